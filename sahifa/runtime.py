@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,7 +27,23 @@ def session(cores: str = "*", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers where neither PYTHONPATH nor the working folder has it."""
+    root = Path(__file__).resolve().parents[1]
+    app = spark.sparkContext.applicationId
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if app in _shipped or any(x and os.path.realpath(x) == str(root) for x in known):
+        return
+    _shipped.add(app)
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "sahifa"), "zip", root, "sahifa")
+    spark.sparkContext.addPyFile(made)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
