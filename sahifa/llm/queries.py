@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import table
-from . import leaks as _leaks, quality as _quality, reading as _reading
+from . import leaks as _leaks, near as _near, quality as _quality, reading as _reading
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +25,31 @@ def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _quality.quality(texts(spark, d))
 
 
+_SOURCES = {0: "train_phase_1", 1: "output_dataset"}
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of problem 6: train_phase_1.text and output_dataset.article."""
+    train = table(spark, d, "train_phase_1").select(F.lit(0).alias("src"), "rec_id", "text")
+    articles = table(spark, d, "output_dataset").select(F.lit(1).alias("src"), "rec_id", F.col("article").alias("text"))
+    return train.unionByName(articles)
+
+
+def _named(df: DataFrame) -> DataFrame:
+    name = F.element_at(F.create_map(*[F.lit(x) for kv in _SOURCES.items() for x in kv]), F.col("src"))
+    return df.select(name.alias("src_table"), *[c for c in df.columns if c != "src"])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs, members = _near.near_records(records(spark, d), k=3, t=0.6, least_words=20)
+    return _named(_near.record_pairs(pairs, members))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    pairs, members = _near.near_records(records(spark, d))
+    return _named(_near.groups(pairs, members))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -39,5 +64,5 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return _reading.level_profile(_reading.reading_levels(docs, table(spark, d, "reading_samples")), docs)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_statistics, p7_found, p9_found, p9_profile)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_statistics, p6_found, p6_groups, p7_found, p9_found, p9_profile)}
 SQL: dict[str, str] = {}
