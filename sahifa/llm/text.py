@@ -25,10 +25,17 @@ WORD_RE = re.compile(r"[^\W_]+")
 
 _DIGITS = {c: str(unicodedata.decimal(chr(c))) for c in range(0x100, sys.maxunicode) if unicodedata.category(chr(c)) == "Nd"}
 _DIGIT_RE = re.compile("[٠-٩۰-۹߀-߉०-९０-９]")
-_PERSIAN = str.maketrans({"ی": "ي", "ک": "ك", "ى": "ي", "ے": "ي", "ہ": "ه", "ھ": "ه"})
+_PERSIAN = (("ى", "ي"), ("ی", "ي"), ("ک", "ك"), ("ے", "ي"), ("ہ", "ه"), ("ھ", "ه"))
 _PERSIAN_RE = re.compile("[یکىےہھ]")
-_ALEF = str.maketrans({"آ": "ا", "أ": "ا", "إ": "ا", "ٱ": "ا"})
-_ALEF_RE = re.compile("[آأإٱ]")
+_ALEF = (("أ", "ا"), ("إ", "ا"), ("آ", "ا"), ("ٱ", "ا"))
+
+
+def _replaced(t: str, pairs: tuple[tuple[str, str], ...]) -> str:
+    # replace() runs over the buffer at once; translate() looks up each character
+    for old, new in pairs:
+        t = t.replace(old, new)
+    return t
+
 
 #: Letters of other scripts that are drawn like a Latin letter (Cyrillic and Greek).
 LATIN_TWINS = dict(
@@ -73,9 +80,9 @@ def fold(t: str, alef: bool = True) -> str:
         t = t.translate(_TWIN_TABLE)
     t = plain(t)
     if _PERSIAN_RE.search(t):
-        t = t.translate(_PERSIAN)
-    if alef and _ALEF_RE.search(t):
-        t = t.translate(_ALEF)
+        t = _replaced(t, _PERSIAN)
+    if alef and not t.isascii():
+        t = _replaced(t, _ALEF)
     return t
 
 
