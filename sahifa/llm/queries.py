@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import table
-from . import leaks as _leaks, near as _near, quality as _quality, reading as _reading
+from . import leaks as _leaks, lookalikes as _lookalikes, near as _near, pairs as _pairs, quality as _quality, reading as _reading
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
@@ -17,6 +17,10 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     return train.unionByName(figures)
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs.defective_pairs(table(spark, d, "output_dataset"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _quality.not_prose(texts(spark, d))
 
@@ -25,6 +29,23 @@ def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _quality.quality(texts(spark, d))
 
 
+def values(spark: SparkSession, d: str) -> DataFrame:
+    """The values of problem 5, one row each."""
+    train = table(spark, d, "train_phase_1")
+    figures = table(spark, d, "egyptian_figures_data")
+    parts = [(train, "train_phase_1", "rec_id", "text"), (train, "train_phase_1", "rec_id", "title"), (figures, "egyptian_figures_data", "figure_id", "name")]
+    rows = [t.select(F.lit(n).alias("src_table"), F.col(k).alias("rec_id"), F.lit(f).alias("field"), F.col(f).alias("value")) for t, n, k, f in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _lookalikes.changed_values(values(spark, d))
+
+
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    return _lookalikes.consistent_forms(values(spark, d)).dropDuplicates(["src_table", "rec_id", "field"])
+
+
 _SOURCES = {0: "train_phase_1", 1: "output_dataset"}
 
 
@@ -64,5 +85,5 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return _reading.level_profile(_reading.reading_levels(docs, table(spark, d, "reading_samples")), docs)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_statistics, p6_found, p6_groups, p7_found, p9_found, p9_profile)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p3_statistics, p5_found, p5_forms, p6_found, p6_groups, p7_found, p9_found, p9_profile)}
 SQL: dict[str, str] = {}
