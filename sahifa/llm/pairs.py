@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -19,13 +20,19 @@ END_BITS = 18
 #: Below this likelihood of an end after its last words a text without a final mark is broken off.
 END_LIKELIHOOD = 0.2
 #: Share of the question's words, in order, that a copy of it keeps; words a copy may add; words of another language.
+FREQUENT = 0.0005
 COPY_SHARE, COPY_EXTRA, FOREIGN_WORDS = 0.7, 4, 4
+QUESTION_ODDS = 10.0
+#: Log odds from which the answer is taken to be in the other language. The names in an answer are spelled as those all
+#: over the corpus, which always speaks for the language of the question; so the boundary lies below even odds.
+FOREIGN_ODDS = -7.0
 
 _SPLIT = re.compile(r"(?<=[.!?؟؛;…])[\"'»”)]*\s+|\n+")
 _MARK = re.compile(r"[.!?؟]+[\"'»”’)\]]*$")
 _OPEN = re.compile(r"(?:\.\.\.?|…|[،,؛;:\-–—])[\"'»”’)\]]*$")
 _PARENS = re.compile(r"[(\[«][^()\[\]«»]{0,80}[)\]»]")
 _DIGITS = re.compile(r"\d")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 #: Answers that say nothing, as words.
 PLACEHOLDERS = frozenset(
@@ -40,6 +47,7 @@ _REFUSALS = re.compile(
         [
             # Arabic, first person or about what is given
             r"\b(?:لا|لن|لست|ليس)\s+(?:أستطيع|استطيع|يمكنني|بإمكاني|بوسعي|أقدر|أعرف|اعرف|أعلم|اعلم|أدري|أملك|أمتلك|لدي|عندي|في وسعي)",
+            r"\bلم\s+(?:أجد|أعثر|أتمكن|أستطع|أستدل)\b",
             r"\bلا\s+علم\s+لي\b|\bلا\s+يسعني\b|\bلست\s+(?:قادرا|متأكدا|مخولا|واثقا)\b|\bغير\s+قادر(?:ة)?\s+على\s+(?:الإجابة|الرد|المساعدة)",
             r"\b(?:يتعذر|تعذر|يصعب|يستحيل)\s+علي\b|\b(?:سأمتنع|أمتنع|أعتذر)\s+عن\s+(?:الرد|الإجابة|الجواب|الخوض|المساعدة|عدم)|\b(?:أفضل|افضل)\s+(?:عدم|ألا)\b|\bلا\s+أود\b|\bأرفض\b",
             r"\bلا\s+(?:تسمح|تكفي)\s+(?:لي\s+)?ب?(?:الجواب|الإجابة|الرد)|\bخارج\s+(?:نطاق|حدود)\s+(?:ما|معرفتي|قدرتي|صلاحياتي)",
@@ -49,6 +57,7 @@ _REFUSALS = re.compile(
             r"\b(?:i|we)\s*(?:'m|am|are)?\s*(?:really\s+|simply\s+)?(?:can't|can not|cannot|can’t|couldn't|could not|won't|will not|am unable|unable|not able|not allowed|do not know|don't know|don’t know|have no idea|have no information|do not have|don't have|don’t have)\b",
             r"\bi(?:'m|’m| am)\s+(?:unable|not able|not sure|not allowed|not in a position)\b|\bi\s+(?:have to|must|would|will)\s+(?:decline|refuse|pass)\b|\bi\s+(?:would|'d|’d)\s+(?:rather|prefer)\s+not\b|\bi\s+(?:would|'d|’d)\s+prefer\s+to\s+(?:not|leave)\b",
             r"\bnot\s+possible\s+for\s+me\b|\bbeyond\s+what\s+i\s+(?:may|can|am)\b|\bnothing\s+(?:i|we)\s+(?:was|were|am|have been)\s+given\b|\boutside\s+(?:what|the scope of what)\s+i\b|\b(?:does not|doesn't|doesn’t|do not)\s+(?:say|mention|state|tell|contain)\s+(?:anything|who|what|when|where|why|how|that|this|the answer|enough|it)\b",
+            r"\b(?:gives?|tells?|offers?)\s+(?:me|us)\s+(?:nothing|no)\b|\bnot\s+enough\s+(?:information|detail|details|data)\b|\bnothing\s+(?:in|is)\s+(?:the\s+(?:text|article|passage)|said)\b|\bfind\s+(?:nothing|no\s+\w+)\s+(?:on|about|in)\b",
             r"\b(?:the\s+)?answer\s+(?:is|was)\s+(?:not\s+known|unknown|not\s+available)\b|\bno\s+(?:information|answer)\s+(?:is|was|about|on)\b|\bleave\s+it\s+unanswered\b",
             # French, Spanish, German
             r"\bje\s+ne\s+(?:peux|puis|sais|suis|connais|dispose|souhaite)\b|\bil\s+m'?est\s+impossible\b|\bje\s+(?:préfère|dois)\s+(?:ne\s+pas|refuser|décliner)\b|\bno\s+(?:puedo|sé|tengo|dispongo)\b|\bich\s+(?:kann|weiß|darf)\s+(?:das|es|diese|leider|nicht|dazu)\b|\bleider\s+kann\s+ich\b",
@@ -69,9 +78,10 @@ def _tokens(t: str) -> list[str]:
 
 
 def corpus_model(df: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Counts over all kept rows: the end-of-text tables (4, 2**END_BITS), and language features of the questions by script.
+    """Counts over all kept rows: the end-of-text tables (4, 2**END_BITS), and language features of the frequent words.
 
-    Their sizes are fixed; partial counts are summed per partition and then per table.
+    Names say nothing of a language, so only words that make up FREQUENT of the words of a script in a batch are counted
+    for it. The tables have fixed sizes; partial counts are summed per partition and then per table.
     """
     size, langs = 1 << END_BITS, ("ar", "en")
 
@@ -83,6 +93,7 @@ def corpus_model(df: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
             two: list[str] = []
             last_one: list[str] = []
             last_two: list[str] = []
+            by_script: dict[str, Counter] = {x: Counter() for x in langs}
             for article, qa in zip(b["article"].to_pylist(), b["qa_pairs"].to_pylist()):
                 for s in _SPLIT.split(plain(article)) if article else ():
                     w = _tokens(s)
@@ -92,12 +103,14 @@ def corpus_model(df: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
                     two += [f"{x} {y}" for x, y in zip(w, w[1:])]
                     last_one.append(w[-1])
                     last_two.append(f"{w[-2]} {w[-1]}")
-                for q in qa or ():
-                    if q and q["question"]:
-                        f = features(q["question"])
-                        script = script_of(q["question"])
-                        if script in seen and len(f):
-                            np.add.at(seen[script], f, 1)
+                for t in (article, *(q["question"] for q in qa or () if q)):
+                    if t and (script := script_of(t)) in by_script:
+                        by_script[script].update(_LETTERS.findall(t.lower()))
+            for script, found in by_script.items():
+                least = max(5, FREQUENT * found.total())
+                for w, n in found.items():
+                    if n >= least:
+                        np.add.at(seen[script], features(w), n)
             for i, x in enumerate((one, two, last_one, last_two)):
                 if x:
                     ends[i] += np.bincount(_bucket(np.array(x, dtype=object)), minlength=size)
@@ -151,14 +164,19 @@ class Judge:
         asked = self.languages.log_posteriors(_PARENS.sub(" ", question))
         given = self.languages.log_posteriors(body)
         own, other = int(asked.argmax()), int(given.argmax())
+        usual = names.index("ar" if script_of(question) == "ar" else "en")
+        if asked[own] - asked[usual] < QUESTION_ODDS:  # a short question is taken to be in the usual language of its script
+            own = usual
         if own == other:
             return False
         # the answer must be far likelier in the other language than in that of the question
-        return bool(given[other] - given[own] > 6 and (asked[own] > np.log(0.5) or names[other] not in ("ar", "en")))
+        return bool(given[other] - given[own] > FOREIGN_ODDS)
 
     def end_likelihood(self, words: list[str], article_words: list[str], article_ends: set[int]) -> float:
         """Likelihood that a text may end after its last words: those of the article first, backed off to the corpus."""
         w = ["0" if _DIGITS.search(x) else x for x in words]
+        if not w[-1].isascii() and len(w[-1]) == 1 or w[-1] == "ال":
+            return 0.0
         b1 = _bucket(np.array([w[-1]], dtype=object))[0]
         p = (self.ends[2, b1] + 0.5) / (self.ends[0, b1] + 2.0)
         if len(w) > 1:
@@ -181,7 +199,7 @@ class Judge:
         return p
 
     def _breaks_off(self, a: str, article: str, q: str) -> bool:
-        if _OPEN.search(a):
+        if _OPEN.search(a) or _unclosed(a):
             return True
         words = WORD_RE.findall(a)
         marked = bool(_MARK.search(a))
@@ -196,7 +214,9 @@ class Judge:
         ends = {i for i, (_, e) in enumerate(spans) if re.match(r"[\"'»”)\]]*\s*(?:[.!?؟؛;…\n]|$)", article[e : e + 6])}
         if len(words) <= 3:
             # short complete answers: whole words that do not lead on
-            known = words[-1] in article_words or words[-1].isdigit()
+            if words[-1].isdigit():
+                return False
+            known = words[-1] in article_words
             b1 = _bucket(np.array([words[-1]], dtype=object))[0]
             leads = self.ends[0, b1] >= 50 and self.ends[2, b1] < 0.002 * self.ends[0, b1]
             partial = not known and any(x.startswith(words[-1]) for x in article_words)
@@ -205,6 +225,11 @@ class Judge:
         return self.end_likelihood(tail if len(tail) >= 2 else words, article_words, ends) < END_LIKELIHOOD
 
 
+def _unclosed(a: str) -> bool:
+    """A quotation mark or bracket is opened in the last sentence and not closed."""
+    return a.count('"') % 2 == 1 or any(a.count(x) > a.count(y) for x, y in ("()", "[]", "«»", "“”"))
+
+
 def _refuses(a: str) -> bool:
     return bool(_REFUSALS.search(a.replace("’", "'")))
 

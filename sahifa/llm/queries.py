@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import table
-from . import leaks as _leaks, lookalikes as _lookalikes, near as _near, pairs as _pairs, quality as _quality, reading as _reading
+from . import leaks as _leaks, lookalikes as _lookalikes, mixing as _mixing, near as _near, pairs as _pairs, quality as _quality, reading as _reading, tokens as _tokens
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
@@ -29,6 +29,38 @@ def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _quality.quality(texts(spark, d))
 
 
+def counted(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of train_phase_1.text and output_dataset.article, one row per record."""
+    train = table(spark, d, "train_phase_1").select(F.lit("train_phase_1").alias("src_table"), "rec_id", "source", F.lit(None).cast("string").alias("category"), "text")
+    articles = table(spark, d, "output_dataset").select(F.lit("output_dataset").alias("src_table"), "rec_id", F.lit("output_dataset").alias("source"), "category", F.col("article").alias("text"))
+    rows = train.unionByName(articles)
+    keys = ["src_table", "rec_id", "source", "category"]
+    counts = _tokens.count_tokens(rows, table(spark, d, "tokenizer_vocab"), table(spark, d, "tokenizer_merges"), keys)
+    named = counts.select("src_table", "rec_id", _tokens.name_key(F.col("source")).alias("source"), _tokens.name_key(F.col("category")).alias("category"), "lang", "tokens")
+    return named.dropDuplicates(["src_table", "rec_id"])
+
+
+def p4_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return counted(spark, d)
+
+
+def p4_budget(spark: SparkSession, d: str) -> DataFrame:
+    return _tokens.budget(counted(spark, d))
+
+
+def _mix(spark: SparkSession, d: str) -> DataFrame:
+    counts = _tokens.count_tokens(table(spark, d, "documents"), table(spark, d, "tokenizer_vocab"), table(spark, d, "tokenizer_merges"), ["doc_id", "source", "category"])
+    return _mixing.mix(counts, table(spark, d, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixing.reached(_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def values(spark: SparkSession, d: str) -> DataFrame:
     """The values of problem 5, one row each."""
     train = table(spark, d, "train_phase_1")
@@ -85,5 +117,5 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return _reading.level_profile(_reading.reading_levels(docs, table(spark, d, "reading_samples")), docs)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p3_statistics, p5_found, p5_forms, p6_found, p6_groups, p7_found, p9_found, p9_profile)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p3_statistics, p4_tokens, p4_budget, p5_found, p5_forms, p6_found, p6_groups, p7_found, p8_mix, p8_shares, p9_found, p9_profile)}
 SQL: dict[str, str] = {}
