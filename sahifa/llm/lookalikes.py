@@ -9,6 +9,7 @@ corpus, in which a change of script inside a word is all but forbidden.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
@@ -32,6 +33,8 @@ _SWITCH = -25.0
 
 #: Arabic letters of other orthographies that are drawn like one of Arabic in some place of a word.
 ARABIC_TWINS = {"ی": "يى", "ک": "ك", "ے": "يى", "ھ": "ه", "ہ": "هة", "ە": "هة", "ۀ": "هة", "ڪ": "ك", "ﻻ": "لا"}
+#: Characters around a letter that only Persian has in which words are taken as Persian.
+PERSIAN_REACH = 20
 _PERSIAN_ONLY = re.compile("[پچژگ]")
 _TAGS = ("<wide>", "<narrow>", "<isolated>", "<initial>", "<medial>", "<final>", "<noBreak>", "<font>")
 
@@ -133,12 +136,19 @@ def consistent(value: str, model: Model) -> str:
     composed = unicodedata.normalize("NFC", t)
     t = composed if len(composed) != len(t) else t  # the order of vowel marks alone is no difference
     if _TWIN_RE.search(t):
-        t = _TOKEN_RE.sub(lambda m: _token(m.group(), model), t)
+        persian = [m.start() for m in _PERSIAN_ONLY.finditer(t)]
+        t = _TOKEN_RE.sub(lambda m: m.group() if _near(m, persian) else _token(m.group(), model), t)
     if re.search("[۰-۳۷-۹]", t) and re.search("[٠-٩]", t) and not re.search("[۴-۶]", t):
         t = t.translate(_EXTENDED)
     return t
 
 
+def _near(m: re.Match, places: list[int]) -> bool:
+    """A word within a few words of a letter that only Persian has is Persian."""
+    at = bisect.bisect_left(places, m.start() - PERSIAN_REACH)
+    return at < len(places) and places[at] <= m.end() + PERSIAN_REACH
+
+
 def _token(token: str, model: Model) -> str:
     if not _TWIN_RE.search(token) or _PERSIAN_ONLY.search(token):
         return token

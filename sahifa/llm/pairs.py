@@ -236,15 +236,21 @@ def _refuses(a: str) -> bool:
 
 def _copies(asked: list[str], words: list[str], a: str) -> bool:
     """The answer gives back the question, possibly altered a little or twice, and little else."""
-    match = SequenceMatcher(None, asked, words, autojunk=False).get_matching_blocks()
-    kept = sum(m.size for m in match)
-    if kept < COPY_SHARE * len(asked):
+    if len(words) > 6 * len(asked) + COPY_EXTRA:
         return False
-    rest = list(words)
-    for w in asked * max(1, round(len(words) / len(asked))):
-        if w in rest:
-            rest.remove(w)
-    if len(rest) > COPY_EXTRA or len(rest) > 0.5 * len(words):
+    at, end, copies = 0, 0, 0
+    while at < len(words):
+        blocks = [m for m in SequenceMatcher(None, asked, words[at:], autojunk=False).get_matching_blocks() if m.size]
+        if sum(m.size for m in blocks) < COPY_SHARE * len(asked):
+            break
+        lead, end = (blocks[0].b if not copies else 0), at + blocks[-1].b + blocks[-1].size
+        reached = blocks[-1].a + blocks[-1].size == len(asked)
+        inside = blocks[-1].b + blocks[-1].size - blocks[0].b - sum(m.size for m in blocks)
+        if lead > COPY_EXTRA or inside > COPY_EXTRA or inside > 0.5 * len(asked):
+            return False
+        at, copies = end, copies + 1
+    # what follows the question is an answer, unless the question's own last word was only changed
+    if not copies or len(words) - end > (not reached):
         return False
     first = next((w for w in asked if w in ASKING), None)
     return first is None or first in words or a.rstrip("\"'»”)").endswith(("?", "؟"))
