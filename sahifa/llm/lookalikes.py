@@ -58,7 +58,11 @@ _JOINED_RE = re.compile("(?<=[پچژگیکا-ي])‌(?=[پچژگیکا-ي])")
 _COMBINING_RE = re.compile("[\\u0300-\\u036f\\u0653-\\u0655]")
 _TWIN_RE = re.compile("[" + "".join(LATIN_TWINS) + "".join(ARABIC_TWINS) + "]")
 _TOKEN_RE = re.compile("[^\\W\\d_]+(?:[\\u064b-\\u0652\\u0670]+[^\\W\\d_]+)*[\\u064b-\\u0652\\u0670]*")
-_SUSPECT_RE = re.compile(f"[{IGNORABLE}]|{_ALIKE_RE.pattern}|{_COMBINING_RE.pattern}|{_TWIN_RE.pattern}|[۰-۹]")
+_CLASSES = IGNORABLE + "".join(p.pattern[1:-1] for p in (_ALIKE_RE, _COMBINING_RE, _TWIN_RE)) + "۰-۹"
+#: One class of characters below U+10000, which is looked up by table (an alternation is tried branch by branch, and a
+#: class with higher characters is scanned), and one of all higher ones.
+_SUSPECT_RE = re.compile("[" + re.sub("[\U00010000-\U0010ffff](?:-[\U00010000-\U0010ffff])?", "", _CLASSES) + "]")
+_HIGHER_RE = re.compile("[\U00010000-\U0010ffff]")
 _EXTENDED = str.maketrans("۰۱۲۳۷۸۹", "٠١٢٣٧٨٩")
 
 
@@ -125,14 +129,13 @@ def count_trigrams(df: DataFrame) -> dict[str, int]:
 def consistent(value: str, model: Model) -> str:
     """The consistent form of a value; visible differences (vowel marks, digits of another set, outer spaces) stay."""
     t = value
-    if not _SUSPECT_RE.search(t):
+    if not _SUSPECT_RE.search(t) and not _HIGHER_RE.search(t):
         return t
     if _HIDDEN_RE.search(t):
         if _PERSIAN_ONLY.search(t):
             t = _JOINED_RE.sub("\x03", t)
         t = _HIDDEN_RE.sub("", t).replace("\x03", "‌")
-    if _ALIKE_RE.search(t):
-        t = _ALIKE_RE.sub(lambda m: _ALIKE[ord(m.group())], t)
+    t = t.translate(_ALIKE)
     composed = unicodedata.normalize("NFC", t)
     t = composed if len(composed) != len(t) else t  # the order of vowel marks alone is no difference
     if _TWIN_RE.search(t):
