@@ -118,4 +118,14 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p3_statistics, p4_tokens, p4_budget, p5_found, p5_forms, p6_found, p6_groups, p7_found, p8_mix, p8_shares, p9_found, p9_profile)}
-SQL: dict[str, str] = {}
+def _words_sql(c: str) -> str:
+    """The words of text.words(): composed, without marks and invisible characters, digits and variants of alef and yaa folded."""
+    t = f"regexp_replace(nfc_normalize({c}), '" + r"[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{610}-\x{61A}\x{640}\x{64B}-\x{65F}\x{670}\x{6D6}-\x{6ED}]" + "', '', 'g')"
+    return f"regexp_extract_all(translate(lower({t}), '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹أإآٱىیک', '01234567890123456789اااايي' || 'ك'), '" + r"[\p{L}\p{N}]+" + "')"
+
+
+def _spans_sql(key: str, source: str) -> str:
+    return f"SELECT {key}, array_to_string(w[n : n + 14], ' ') AS span FROM (SELECT {key}, w, unnest(range(1, len(w) - 13)) AS n FROM (SELECT {key}, {_words_sql('text')} AS w FROM {source} WHERE text IS NOT NULL))"
+
+
+SQL: dict[str, str] = {"p7_found": f"SELECT DISTINCT doc_id, item_id FROM ({_spans_sql('doc_id', 'documents')}) JOIN ({_spans_sql('item_id', 'eval_items')}) USING (span)"}
