@@ -16,13 +16,14 @@ COMMON = {
         "the of and a an in to at by on for with from after before during since until it its was were is are be been that this which who as his her he she they their my our but so not or had has have near between under over into about than then when while where".split()
     ),
 }
+_COMMON = COMMON["ar"] | COMMON["en"]
+_HAS_DIGIT = re.compile(r"\d").search
 _BULLET = re.compile(r"^\s*(?:[-*•·▪◦‣–—+]\s+|\(?\d{1,3}[.)\-]\s+|\d{1,3}\s*[-–]\s+|[a-zA-Z][.)]\s+)")
 _END = re.compile(r"[.!?؟…]+[\"'»”)]*\s*$")
 _TERM = re.compile(r"[.!?؟؛;]+(?=\s|$)|\n+")
 _TAG = re.compile(r"<[^<>]{1,400}>")
 _MOJI = re.compile(r"[ØÙÚÃÂŘŮ][\u0080-ɏˀ-˿ -⋿§©®°±¶·¡¢£¤¥¦¨ª«¬¯²³´µ¸¹º»¼½¾¿]")
 _WORD = re.compile(r"[^\W\d_]{2,}")
-_TOKEN = re.compile(r"\S+")
 _SEPARATORS = ("||", "!!", "|", "\t", "•", "·", "▪", " * ", " / ", " - ", " – ", ";", "؛", ",", "،", "  ")
 _MISPLACED = re.compile("[ةى](?=[ء-ي])|ء(?=[ء-ي])(?<!^ء)|[ىة]{2}")
 _NUM = re.compile(r"^[-–—+]?[\d٠-٩۰-۹.,٫٬]+\s*%?$|^[-–—]$")
@@ -56,14 +57,14 @@ def _cells(lines: list[str]) -> tuple[str, float, list[str]]:
 def measures(text: str) -> dict:
     """Statistics of one text that is neither null nor blank."""
     t = MARKS_RE.sub("", compose(text))
-    tokens = _TOKEN.findall(t)
+    tokens = t.split()
     lines = [x for x in t.split("\n") if x.strip()]
-    letters = sum(map(len, _words(t)))
-    chars = max(1, sum(map(len, tokens)))
     w = _words(t)
+    letters = sum(map(len, w))
+    chars = max(1, sum(map(len, tokens)))
     lower = [x.lower() for x in w]
     counts = Counter(lower)
-    common = sum(x in COMMON["ar"] or x in COMMON["en"] for x in lower)
+    common = sum(map(_COMMON.__contains__, lower))
     ended = sum(bool(_END.search(x)) for x in lines)
     return {
         "word_count": len(tokens),
@@ -73,7 +74,7 @@ def measures(text: str) -> dict:
         "common_word_share": round(common / max(1, len(w)), 3),
         "distinct_word_share": round(len(counts) / max(1, len(w)), 3),
         "sentence_length": round(len(tokens) / max(1, len([x for x in _TERM.split(t) if x.strip()])), 1),
-        "digit_token_share": round(sum(any(c.isdigit() for c in x) for x in tokens) / max(1, len(tokens)), 3),
+        "digit_token_share": round(sum(map(bool, map(_HAS_DIGIT, tokens))) / max(1, len(tokens)), 3),
     }
 
 
@@ -109,7 +110,7 @@ def kind_of(text: str | None) -> str | None:
     t = MARKS_RE.sub("", compose(text)).strip()
     if _plainly_prose(t):
         return "prose"
-    tokens = _TOKEN.findall(t)
+    tokens = t.split()
     w = _words(t)
     if len(tokens) < 6 and len(t) < 60:
         return "prose"
@@ -132,7 +133,7 @@ def kind_of(text: str | None) -> str | None:
     longest = max(map(len, tokens))
     if longest > 40 and sum(len(x) for x in tokens if len(x) > 30) > 0.4 * chars:
         return "junk"
-    common = sum(x in COMMON["ar"] or x in COMMON["en"] for x in lower)
+    common = sum(map(_COMMON.__contains__, lower))
     share = common / max(1, len(w))
     if _junk_words(w) > 0.3 and share < 0.1:
         return "junk"
