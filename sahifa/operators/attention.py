@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,6 +40,21 @@ def embed(tokens: DataFrame, table: DataFrame, positions: DataFrame | None = Non
     return found.join(positions.select("pos", F.col("vec").alias("__p")), "pos").select("seq_id", "pos", add(F.col("vec"), F.col("__p")).alias("vec"))
 
 
+def initial_embeddings(spark: SparkSession, tokens: int, width: int, std: float = 0.02, seed: int = 0, pad: int | None = 0) -> DataFrame:
+    """table(token_id, vec) of normal numbers fixed by seed and place, however the rows are partitioned; the padding row is zeros."""
+    def uniform(j: Column, salt: int) -> Column:
+        h = F.pmod(F.xxhash64(F.col("token_id"), j, F.lit(seed), F.lit(salt)), F.lit(1 << 52))
+        return (h + 0.5) / F.lit(float(1 << 52))
+
+    def normal(j: Column) -> Column:
+        return F.sqrt(-2 * F.log(uniform(j, 1))) * F.cos(2 * F.pi() * uniform(j, 2)) * std
+
+    ids = spark.range(tokens).select(F.col("id").alias("token_id"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), normal)
+    zero = F.array_repeat(F.lit(0.0), width)
+    return ids.select("token_id", vec.alias("vec") if pad is None else F.when(F.col("token_id") == pad, zero).otherwise(vec).alias("vec"))
+
+
 def heads(x: DataFrame, n_heads: int, width: int, wq: Column | None, wk: Column | None, wv: Column | None) -> DataFrame:
     """(seq_id, pos, head, q, k, v): projections (null weights: the vector itself) cut into heads."""
     if width % n_heads:

@@ -152,6 +152,14 @@ def decode(tokens: Column) -> Column:
     return F.regexp_replace(F.replace(F.array_join(shown, ""), F.lit(MARK), F.lit(" ")), "^ ", "")
 
 
+def padded(df: DataFrame, key: str, ids: str = "ids", pad: int = 0) -> DataFrame:
+    """(key, ids, valid): ids filled up with `pad` to the longest row, and which places are real. Null ids give nulls."""
+    longest = df.agg(F.coalesce(F.max(F.size(ids)), F.lit(0)).alias("__n"))
+    wide = df.select(key, F.col(ids).alias("ids")).crossJoin(F.broadcast(longest))  # one row
+    missing = F.col("__n") - F.size("ids")
+    return wide.select(key, F.concat("ids", F.array_repeat(F.lit(pad), missing)).alias("ids"), F.concat(F.array_repeat(F.lit(True), F.size("ids")), F.array_repeat(F.lit(False), missing)).alias("valid"))
+
+
 def token_ids(df: DataFrame, key: str, vocab: DataFrame, tokens: str = "tokens") -> DataFrame:
     """(key, pos, token, id): tokens looked up in the vocabulary, those without an entry as the unknown one."""
     unknown = F.lit(1)

@@ -100,6 +100,18 @@ def q30_token_ids(spark: SparkSession, d: str) -> DataFrame:
 SQL_Q30 = f"""SELECT rec_id, (i - 1)::INTEGER AS pos, token, coalesce(id, 1)::INTEGER AS id FROM (SELECT rec_id, i, substring(t, i, 1) AS token FROM (SELECT rec_id, replace(title, ' ', '▁') AS t, unnest(range(1, len(title) + 1)) AS i FROM ({_TEXTS}))) LEFT JOIN tokenizer_vocab v USING (token)"""
 
 
+def q30_padded_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Character ids of every title, filled up to the longest, and how many of them are real."""
+    t = _texts(spark, d).where("title is not null").select("rec_id", F.filter(F.split(F.replace("title", F.lit(" "), F.lit("▁")), ""), lambda c: c != "").alias("tokens"))
+    ids = bpe.token_ids(t, "rec_id", table(spark, d, "tokenizer_vocab")).groupBy("rec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
+    p = bpe.padded(ids, "rec_id")
+    return p.select("rec_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"), F.size(F.filter("valid", lambda v: v)).alias("real"))
+
+
+SQL_Q30_PADDED = f"""WITH c AS ({SQL_Q30}), g AS (SELECT rec_id, list(id ORDER BY pos) AS ids FROM c GROUP BY 1), m AS (SELECT max(len(ids)) AS n FROM g)
+ SELECT rec_id, array_to_string(list_concat(ids, list_transform(range(0, (n - len(ids))::BIGINT), lambda i: 0)), ' ') AS ids, len(ids)::INTEGER AS real FROM g, m"""
+
+
 def q31_chars_per_token(spark: SparkSession, d: str) -> DataFrame:
     """Characters a pre-token, by text; null for an empty one."""
     t = _texts(spark, d)
@@ -140,5 +152,5 @@ def q33_bpe_lossless(spark: SparkSession, d: str) -> DataFrame:
     return e.select("rec_id", (bpe.decode(F.col("tokens")) == F.col("text")).alias("lossless"))
 
 
-QUERIES = {f.__name__: f for f in (q21_normalize_text, q22_normalize_stats, q23_corpus_filter, q24_corpus_totals, q25_word_freq, q26_alphabet, q27_pair_counts, q28_bpe_vocab, q28_bpe_merges, q29_encode, q30_token_ids, q31_chars_per_token, q31_bpe_chars_per_token, q32_token_length_hist, q32_bpe_length_hist, q33_lossless, q33_bpe_lossless)}
-SQL = {"q21_normalize_text": SQL_Q21, "q22_normalize_stats": SQL_Q22, "q23_corpus_filter": SQL_Q23, "q24_corpus_totals": SQL_Q24, "q25_word_freq": SQL_Q25, "q26_alphabet": SQL_Q26, "q27_pair_counts": SQL_Q27, "q30_token_ids": SQL_Q30, "q31_chars_per_token": SQL_Q31, "q32_token_length_hist": SQL_Q32, "q33_lossless": SQL_Q33}
+QUERIES = {f.__name__: f for f in (q21_normalize_text, q22_normalize_stats, q23_corpus_filter, q24_corpus_totals, q25_word_freq, q26_alphabet, q27_pair_counts, q28_bpe_vocab, q28_bpe_merges, q29_encode, q30_token_ids, q30_padded_batch, q31_chars_per_token, q31_bpe_chars_per_token, q32_token_length_hist, q32_bpe_length_hist, q33_lossless, q33_bpe_lossless)}
+SQL = {"q21_normalize_text": SQL_Q21, "q22_normalize_stats": SQL_Q22, "q23_corpus_filter": SQL_Q23, "q24_corpus_totals": SQL_Q24, "q25_word_freq": SQL_Q25, "q26_alphabet": SQL_Q26, "q27_pair_counts": SQL_Q27, "q30_token_ids": SQL_Q30, "q30_padded_batch": SQL_Q30_PADDED, "q31_chars_per_token": SQL_Q31, "q32_token_length_hist": SQL_Q32, "q33_lossless": SQL_Q33}

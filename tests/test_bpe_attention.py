@@ -91,3 +91,26 @@ def test_guards(spark):
         attention.embed(tokens, table).collect()
     with pytest.raises(ValueError):
         attention.heads(table, 3, 8, None, None, None)
+
+
+def test_padded(spark):
+    df = spark.createDataFrame([(1, [5, 6, 7]), (2, [5]), (3, []), (4, None)], "id int, ids array<int>")
+    got = {r.id: (r.ids, r.valid) for r in bpe.padded(df, "id").collect()}
+    assert got == {1: ([5, 6, 7], [True] * 3), 2: ([5, 0, 0], [True, False, False]), 3: ([0, 0, 0], [False] * 3), 4: (None, None)}
+    assert bpe.padded(df.limit(0), "id").count() == 0
+
+
+def test_initial_embeddings(spark):
+    rows = attention.initial_embeddings(spark, 200, 16, seed=3).collect()
+    v = np.array([r.vec for r in rows if r.token_id])
+    assert abs(v.std() - 0.02) < 0.002 and abs(v.mean()) < 0.002
+    assert [r.vec for r in rows if r.token_id == 0] == [[0.0] * 16]
+    again = attention.initial_embeddings(spark, 200, 16, seed=3).repartition(3).collect()
+    assert {r.token_id: r.vec for r in again} == {r.token_id: r.vec for r in rows}
+
+
+def test_tokenizer_tables_round_trip(spark, tmp_path):
+    vocab, merges = bpe.train(corpus.piece_counts(spark.createDataFrame([("ab ab cd",)], "text string")), 30, 1)
+    bpe.write_tokenizer(vocab, merges, str(tmp_path))
+    v, m = bpe.read_tokenizer(spark, str(tmp_path))
+    assert sorted(v.collect()) == sorted(vocab.collect()) and sorted(m.collect()) == sorted(merges.collect())

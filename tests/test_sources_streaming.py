@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sahifa.sources import json_lines, pages
+from sahifa.sources import json_lines, pages, progress
 from sahifa.streaming import resume
 
 
@@ -67,3 +67,9 @@ def test_hourly_counts(spark, tmp_path):
     q = resume.hourly_counts(stream, "t").writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.records for r in spark.table("hours").collect()) == [1, 2]
+
+
+def test_observed_counts(spark):
+    df, seen = progress.observed(spark.range(10), even=F.col("id") % 2 == 0, none=F.lit(None).cast("boolean"))
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 10, "even": 5, "none": 0}
