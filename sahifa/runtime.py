@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def session(cores: str = "*", **conf: str) -> SparkSession:
@@ -59,14 +59,29 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+_written: dict[str, list[str]] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder as a table and read it back: the lineage ends there, so a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sahifa-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint when it is counted to hold no more than `rows`; beyond that the planner joins by shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what cut() wrote for this application; call it when results are written, since lazy frames still read it. Returns the number of tables."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
+
+
+def broadcast_if_small(df: DataFrame, rows: int, weight: Column | None = None, most: int = 0) -> DataFrame:
+    """df with a broadcast hint when it is counted to hold no more than `rows`, and no more than `most` of the sum of `weight` where its rows can be long; beyond that the planner joins by shuffle."""
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0)) if weight is not None else F.lit(0)).first()
+    return F.broadcast(df) if n <= rows and total <= most else df
