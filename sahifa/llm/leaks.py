@@ -18,6 +18,8 @@ GRAM = 8
 #: Test fingerprints and hit documents up to these numbers are broadcast after they were counted, more are joined by shuffle.
 FINGERPRINT_ROWS = 500_000
 HIT_ROWS = 500_000
+#: Items are broadcast up to this number and this many characters.
+ITEM_ROWS, ITEM_CHARS = 20_000, 50_000_000
 _SLICE = 256
 
 
@@ -74,8 +76,8 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM)
     # distinct diagonals are bounded by the words of one document and one item
     hits = corpus.join(broadcast_if_small(test, FINGERPRINT_ROWS), "fp").groupBy("doc_id", "item_id").agg(F.collect_set(F.col("pos") - F.col("item_pos")).alias("shifts"))
     hits = cut(hits)
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(hits, HIT_ROWS), "doc_id")
-    pairs = texts.join(broadcast_if_small(items.select("item_id", F.col("text").alias("item_text")), 20_000), "item_id")
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(hits, HIT_ROWS, F.size("shifts"), 4 * HIT_ROWS), "doc_id")
+    pairs = texts.join(broadcast_if_small(items.select("item_id", F.col("text").alias("item_text")), ITEM_ROWS, F.length("item_text"), ITEM_CHARS), "item_id")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

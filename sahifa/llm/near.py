@@ -32,7 +32,7 @@ _CHUNK_BITS = 16
 #: 2**BLOCK_BITS ids for each short list of one record, however many rows share a shingle.
 BLOCK_BITS = 16
 #: Candidate records up to this number are broadcast after they were counted.
-CANDIDATE_ROWS = 1_000_000
+CANDIDATE_ROWS = 500_000
 _SLICE = 256
 
 
