@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from statistics import median
@@ -19,7 +20,7 @@ SAMPLE_BOUND = 20_000
 _TERMINAL = re.compile(r"(?<=[.!?؟؛;…])[\"'»”)]*\s+")
 _FINAL = re.compile(r"[.!?؟؛;…][\"'»”)]*$")
 #: A comma and a conjunction before a word that opens a sentence: sentences that were only strung together.
-_STRUNG = re.compile(r",\s+and\s+(?=(?:The|An?|In|On|At|By|For|Since|Until|After|Before|During|Between|Within|Late|Early|As|My|Our|So|Today|One|Last|Then|It|He|She|They|We|There|This|That)\b)|،\s+و(?=(?:في|مع|بعد|قبل|منذ|خلال|عند|بين|حتى|طوال|عقب|بحلول|ثم|أمس|اليوم|كل|وقت|بعدها)\s)")
+_STRUNG = re.compile(r",\s+and\s+(?=(?:The|An?|In|On|At|By|For|Since|Until|After|Before|During|Between|Within|Late|Early|As|My|Our|So|Today|One|Last|Then|It|He|She|They|We|There|This|That)\b)|،\s+و(?=(?:في|مع|بعد|قبل|منذ|خلال|عند|بين|حتى|طوال|عقب|بحلول|ثم|أمس|اليوم|كل|وقت|بعدها)\s|ال)")
 _WORD = re.compile(r"[^\W\d_]+")
 _EN_VOWELS = re.compile("[aeiouyàâäéèêëîïôöûü]+")
 _EN_SILENT = re.compile(r"(?:[^aeiouylr]e|[^aeiouy]es|[^aeioutd]ed)$")
@@ -49,18 +50,15 @@ def sentences(text: str) -> list[str]:
     """The sentences of a text, whatever its layout.
 
     A line break ends a sentence unless the line has no final mark and is filled up, that is, the first word of the next
-    line would not have fitted into the width of the text: then, in a text where most such lines are full, it is a space.
+    line would not have fitted into the width: then, where most such lines of the paragraph or of the run of lines are
+    full, it is a space. The width is that of the unfinished lines of a run. A line that goes on in lower case always does.
     """
-    paragraphs = [[x.strip() for x in p.split("\n") if x.strip()] for p in re.split(r"\n\s*\n", text)]
-    open_breaks = [(a, b) for p in paragraphs for a, b in zip(p, p[1:]) if not _FINAL.search(a)]
-    width = max((len(x) for p in paragraphs for x in p), default=0)
-    full = [len(a) + 1 + len(b.split(" ", 1)[0]) > width for a, b in open_breaks]
-    wrapped = len(full) >= 2 and sum(full) >= 0.6 * len(full)
     out: list[str] = []
-    for p in paragraphs:
-        joined = p[:1]
-        for a, b in zip(p, p[1:]):
-            if wrapped and not _FINAL.search(a) and len(a) + 1 + len(b.split(" ", 1)[0]) > width:
+    for p in re.split(r"\n\s*\n", text):
+        lines = [x.strip() for x in p.split("\n") if x.strip()]
+        joined = lines[:1]
+        for filled, b in zip(_filled(lines), lines[1:]):
+            if filled or b[:1].islower():
                 joined[-1] += " " + b
             else:
                 joined.append(b)
@@ -68,6 +66,36 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+def _filled(lines: list[str]) -> list[bool]:
+    """For each line but the last, whether it was broken because the next word did not fit."""
+    unfinished = [not _FINAL.search(x) for x in lines[:-1]]
+    full = [False] * len(unfinished)
+    runs: list[list[int]] = []
+    for i, u in enumerate(unfinished):
+        if u:
+            if i and unfinished[i - 1]:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+    for run in runs:
+        width = max(len(lines[i]) for i in run)
+        for i in run:
+            full[i] = len(lines[i]) + 1 + len(lines[i + 1].split(" ", 1)[0]) > width
+        # lines of one number of words
+        sizes = Counter(len(lines[i].split()) for i in run)
+        if len(run) >= 4 and max(sizes.values()) >= 0.75 * len(run):
+            usual = sizes.most_common(1)[0][0]
+            for i in run:
+                full[i] = full[i] or len(lines[i].split()) == usual
+    several = [i for run in runs if len(run) > 1 for i in run]
+    paragraph = bool(several) and sum(full[i] for i in several) >= 0.6 * len(several)
+    for run in runs:
+        if not paragraph and (len(run) < 2 or sum(full[i] for i in run) < 0.6 * len(run)):
+            for i in run:
+                full[i] = False
+    return full
+
+
 def counts(sentence: str, lang: str) -> tuple[int, float, float, float, float] | None:
     """Words of a sentence and, per word, its letters, syllables, hard and long words; None without words."""
     found = _WORD.findall(sentence.lower())
