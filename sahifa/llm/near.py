@@ -149,11 +149,11 @@ def near_records(df: DataFrame, k: int = 5, t: float = 0.8, least_words: int = 2
     reps = indexed.join(classes.select("src", "sig", "a", F.col("rep").alias("rec_id")), ["src", "sig", "a", "rec_id"], "left_semi").dropDuplicates(["src", "rec_id"])
     lists = reps.select("src", "rec_id", "a", "last", F.explode("short").alias("key"))
     # the record whose short lists end first is the query: its matches hold all their smaller keys in their own short lists
-    x = lists.select("src", "key", F.col("rec_id").alias("x"), F.col("a").alias("xa"), F.col("last").alias("x_last"))
-    y = lists.select("src", "key", F.col("rec_id").alias("y"), F.col("a").alias("ya"), F.col("last").alias("y_last"))
-    first = (F.col("x_last") < F.col("y_last")) | ((F.col("x_last") == F.col("y_last")) & (F.col("x") < F.col("y")))
-    sizes = (F.col("ya") >= F.ceil(F.lit(t) * F.col("xa") - 1e-9)) & (F.col("xa") >= F.ceil(F.lit(t) * F.col("ya") - 1e-9))
-    found = x.join(y, ["src", "key"]).where(first & sizes).select("src", "x", "xa", "key", "y", "ya", F.shiftright("y", BLOCK_BITS).alias("block"))
+    # both sides are one exchange: columns are named after the join
+    both = lists.alias("l").join(lists.alias("r"), (F.col("l.src") == F.col("r.src")) & (F.col("l.key") == F.col("r.key")))
+    first = (F.col("l.last") < F.col("r.last")) | ((F.col("l.last") == F.col("r.last")) & (F.col("l.rec_id") < F.col("r.rec_id")))
+    sizes = (F.col("r.a") >= F.ceil(F.lit(t) * F.col("l.a") - 1e-9)) & (F.col("l.a") >= F.ceil(F.lit(t) * F.col("r.a") - 1e-9))
+    found = both.where(first & sizes).select("l.src", F.col("l.rec_id").alias("x"), F.col("l.a").alias("xa"), "l.key", F.col("r.rec_id").alias("y"), F.col("r.a").alias("ya"), F.shiftright("r.rec_id", BLOCK_BITS).alias("block"))
     grouped = found.repartition("src", "x", "block").sortWithinPartitions("src", "x", "block", "key", "y")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
