@@ -21,11 +21,12 @@ END_BITS = 18
 END_LIKELIHOOD = 0.2
 #: Share of the question's words, in order, that a copy of it keeps; words a copy may add; words of another language.
 FREQUENT = 0.0005
+#: Up to this share of all words a word is taken for a name.
+RARE = 0.00005
 COPY_SHARE, COPY_EXTRA, FOREIGN_WORDS = 0.7, 4, 4
 QUESTION_ODDS = 10.0
-#: Log odds from which the answer is taken to be in the other language. The names in an answer are spelled as those all
-#: over the corpus, which always speaks for the language of the question; so the boundary lies below even odds.
-FOREIGN_ODDS = -7.0
+#: Log odds from which the answer is taken to be in the other language.
+FOREIGN_ODDS = 10.0
 
 _SPLIT = re.compile(r"(?<=[.!?؟؛;…])[\"'»”)]*\s+|\n+")
 _MARK = re.compile(r"[.!?؟]+[\"'»”’)\]]*$")
@@ -137,7 +138,7 @@ class Judge:
     """Decides on single pairs."""
 
     def __init__(self, ends: np.ndarray, languages: Languages) -> None:
-        self.ends, self.languages = ends, languages
+        self.ends, self.languages, self.total = ends, languages, int(ends[0].sum())
 
     def defect(self, question: str | None, answer: str | None, article: str | None) -> str | None:
         if answer is None:
@@ -161,8 +162,8 @@ class Judge:
         if len(WORD_RE.findall(body)) < FOREIGN_WORDS or not question.strip():
             return False
         names = self.languages.names
-        asked = self.languages.log_posteriors(_PARENS.sub(" ", question))
-        given = self.languages.log_posteriors(body)
+        asked = self.languages.log_posteriors(self._without_names(_PARENS.sub(" ", question)))
+        given = self.languages.log_posteriors(self._without_names(body))
         own, other = int(asked.argmax()), int(given.argmax())
         usual = names.index("ar" if script_of(question) == "ar" else "en")
         if asked[own] - asked[usual] < QUESTION_ODDS:  # a short question is taken to be in the usual language of its script
@@ -172,6 +173,15 @@ class Judge:
         # the answer must be far likelier in the other language than in that of the question
         return bool(given[other] - given[own] > FOREIGN_ODDS)
 
+    def _without_names(self, text: str) -> str:
+        """The text without words that are rare, but not unknown, in the corpus: mostly names, which say nothing of a language."""
+        found = [w for s in _SPLIT.split(text) for i, w in enumerate(WORD_RE.findall(s)) if i == 0 or not (w[0].isupper() and w[0] < "\u0250")]
+        if not found:
+            return text
+        n = self.ends[0, _bucket(np.array([plain(w) for w in found], dtype=object))]
+        kept = [w for w, c in zip(found, n) if c == 0 or c > RARE * self.total]
+        return " ".join(kept) if len(kept) >= 3 else text
+
     def end_likelihood(self, words: list[str], article_words: list[str], article_ends: set[int]) -> float:
         """Likelihood that a text may end after its last words: those of the article first, backed off to the corpus."""
         w = ["0" if _DIGITS.search(x) else x for x in words]
