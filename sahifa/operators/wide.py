@@ -62,16 +62,18 @@ def to_date(c: Column) -> Column:
     """A date with day, month and year, in any of the usual orders; null where one of them is not known."""
     s = F.lower(_ascii(c))
     months = "|".join(sorted(MONTHS, key=len, reverse=True))
-    head, tail, gap = "(?s)^(?:.*?[^\\p{L}\\p{N}])??", "(?![\\p{L}\\p{N}]).*$", "\\s*[،,-]?\\s*"
-    day, month, year = "(\\d{1,2})(?:st|nd|rd|th)?", f"({months})\\.?", "(\\d{4})م?"
+    gap, day, month, year = "\\s*[،,-]?\\s*", "(\\d{1,2})(?:st|nd|rd|th)?", f"({months})\\.?", "(\\d{4})م?"
+    two, four, sign = "(\\d{1,2})", "(\\d{4})", "[-/.]"
+    # one expression for all orders; groups of the orders that do not match are empty
     orders = [
-        (f"{head}(\\d{{4}})[-/.](\\d{{1,2}})[-/.](\\d{{1,2}}){tail}", "$1-$2-$3"),
-        (f"{head}(\\d{{1,2}})[-/.](\\d{{1,2}})[-/.](\\d{{4}}){tail}", "$3-$2-$1"),
-        (f"{head}{day}{gap}(?:of |من )?{month}{gap}(?:of |من )?(?:عام |سنة )?{year}{tail}", "$3-$2-$1"),
-        (f"{head}{month}{gap}{day}{gap}{year}{tail}", "$3-$1-$2"),
-        (f"{head}{year}{gap}{month}{gap}{day}{tail}", "$1-$2-$3"),
+        f"{four}{sign}{two}{sign}{two}",
+        f"{two}{sign}{two}{sign}{four}",
+        f"{day}{gap}(?:of |من )?{month}{gap}(?:of |من )?(?:عام |سنة )?{year}",
+        f"{month}{gap}{day}{gap}{year}",
+        f"{year}{gap}{month}{gap}{day}",
     ]
-    found = F.split(F.coalesce(*[F.when(s.rlike(p), F.regexp_replace(s, p, to)) for p, to in orders]), "-")
+    pattern = f"(?s)^(?:.*?[^\\p{{L}}\\p{{N}}])??(?:{'|'.join(orders)})(?![\\p{{L}}\\p{{N}}]).*$"
+    found = F.split(F.when(s.rlike(pattern), F.regexp_replace(s, pattern, "$1$6$9$12$13-$2$5$8$10$14-$3$4$7$11$15")), "-")
     name = F.get(found, F.lit(1))
     number = F.coalesce(_lookup(name, MONTHS), name.try_cast("int"))
     return F.try_to_date(F.format_string("%04d-%02d-%02d", F.get(found, F.lit(0)).try_cast("int"), number, F.get(found, F.lit(2)).try_cast("int")), "yyyy-MM-dd")
