@@ -64,11 +64,13 @@ def ranks(values: DataFrame) -> DataFrame:
 
 
 def score(profiles: DataFrame) -> DataFrame:
-    """profiles with outlier_score: the sum over the statistics of -ln of the two-sided empirical tail probability."""
+    """profiles with outlier_score: the sum over the statistics of -ln of the two-sided empirical tail probability among distinct profiles."""
     stats = F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in STATISTICS])).alias("s")
     long = profiles.select("src_table", "rec_id", "lang", stats).select("src_table", "rec_id", "lang", "s.stat", "s.value")
+    # copies of a text have one profile and count once, or a hot group of them would be the middle of the distribution
+    single = profiles.select("lang", *STATISTICS).distinct().select("lang", stats).select("lang", "s.stat", "s.value")
     tail = F.least(F.lit(1.0), 2 * F.least(F.col("upto") / F.col("total"), (F.col("total") - F.col("below")) / F.col("total")))
-    tails = cut(ranks(long.select("lang", "stat", "value")).select("lang", "stat", "value", (-F.log(tail)).alias("surprise")))
+    tails = cut(ranks(single).select("lang", "stat", "value", (-F.log(tail)).alias("surprise")))
     scores = long.join(broadcast_if_small(tails, BROADCAST_ROWS), ["lang", "stat", "value"]).groupBy("src_table", "rec_id").agg(F.round(F.sum("surprise"), 6).alias("outlier_score"))
     return profiles.join(scores, ["src_table", "rec_id"])
 

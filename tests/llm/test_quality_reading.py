@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +28,13 @@ def test_kinds(text, kind):
     assert kind_of(text) == kind
 
 
+def prose(i):
+    """Prose of varied length and words."""
+    rnd = random.Random(i)
+    nouns, verbs = "council teacher river school house market engineer garden letter bridge museum village".split(), "opened moved visited described restored collected examined planned".split()
+    return " ".join(f"{rnd.choice(['In the summer of ' + str(rnd.randint(1800, 1990)) + ' the', 'The', 'After that the'])} {rnd.choice(nouns)} {rnd.choice(verbs)} the {rnd.choice(nouns)} near the {rnd.choice(nouns)}{rnd.choice(['', ' of the old ' + rnd.choice(nouns), ' with the help of ' + rnd.choice(nouns) + 's'])}." for _ in range(rnd.randint(2, 14)))
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(s, i, t, "x", "y", 1.0) for s, i, t in rows], "src_table string, rec_id bigint, text string, lang string, stat string, value double")
 
@@ -40,12 +49,19 @@ def test_exact_ranks(spark):
 
 
 def test_outliers_are_found(spark):
-    rows = [("t", i, f"In {1900 + i} the council of town {i} opened a school on the river bank. It stayed open for {i} years, and people came to it from the old market.") for i in range(120)]
+    rows = [("t", i, prose(i)) for i in range(120)]
     rows += [("t", 500, "\n".join("- " + x for x in NAMES)), ("t", 501, "\n".join(ROWS)), ("u", 500, "xkcdq bvnmtr wrtpsd qzx plkjh gfdsw rtyp " * 3), ("t", 502, None), ("t", 503, ""), ("t", 500, "\n".join("- " + x for x in NAMES))]
     got = {tuple(r) for r in quality.not_prose(frame(spark, rows)).collect()}
     assert got == {("t", 500, "list"), ("t", 501, "table"), ("u", 500, "junk")}
 
 
+def test_a_third_of_copies(spark):
+    rows = [("t", i, prose(i)) for i in range(100)]
+    rows += [("t", 1000 + i, "\n".join("- " + x for x in NAMES)) for i in range(50)]
+    got = quality.not_prose(frame(spark, rows)).collect()
+    assert {r.rec_id for r in got} == set(range(1000, 1050)) and {r.kind for r in got} == {"list"}
+
+
 def test_quality_of_nothing_and_of_a_long_text(spark):
     assert quality.quality(frame(spark, [])).count() == 0
     r = quality.quality(frame(spark, [("t", 1, PROSE * 3000)])).first()
