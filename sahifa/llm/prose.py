@@ -18,7 +18,7 @@ COMMON = {
 }
 _COMMON = COMMON["ar"] | COMMON["en"]
 _HAS_DIGIT = re.compile(r"\d").search
-_BULLET = re.compile(r"^\s*(?:[-*•·▪◦‣–—+]\s+|\(?\d{1,3}[.)\-]\s+|\d{1,3}\s*[-–]\s+|[a-zA-Z][.)]\s+)")
+_BULLET = re.compile(r"^\s*(?:[^\w\s\"'«“‘(\[<]{1,2}\s+|\[.?\]\s+|\(?\d{1,3}[.)\-]\s+|\d{1,3}\s*[-–]\s+|\(?(?:[a-zA-Z]|[ivxlcIVXLC]{1,6}|[ء-ي])[.)]\s+)")
 _END = re.compile(r"[.!?؟…]+[\"'»”)]*\s*$")
 _TERM = re.compile(r"[.!?؟؛;]+(?=\s|$)|\n+")
 _TAG = re.compile(r"<[^<>]{1,400}>")
@@ -27,6 +27,7 @@ _WORD = re.compile(r"[^\W\d_]{2,}")
 _SEPARATORS = ("||", "!!", "|", "\t", "•", "·", "▪", " * ", " / ", " - ", " – ", ";", "؛", ",", "،", "  ")
 _MISPLACED = re.compile("[ةى](?=[ء-ي])|ء(?=[ء-ي])(?<!^ء)|[ىة]{2}")
 _NUM = re.compile(r"^[-–—+]?[\d٠-٩۰-۹.,٫٬]+\s*%?$|^[-–—]$")
+_RUN = re.compile(r"[^\W_]+")
 _VOWELS = frozenset("aeiouyéèêôîûàâëïüöäá")
 
 
@@ -46,7 +47,10 @@ def _clause(s: str, common: frozenset) -> bool:
 def _cells(lines: list[str]) -> tuple[str, float, list[str]]:
     """The separator that cuts the text into the most short cells, and those cells."""
     best = ("", 0.0, [])
-    for sep in _SEPARATORS:
+    # a mark that stands alone again and again sets cells apart, whichever it is
+    alone = Counter(x for line in lines for x in line.split() if not any(c.isalnum() for c in x))
+    other = [f" {x} " for x, n in alone.most_common(2) if n >= 6]
+    for sep in (*_SEPARATORS, *other):
         cut = [[c.strip() for c in (re.split(r"\s{2,}", x.strip()) if sep == "  " else x.split(sep))] for x in lines]
         n = sum(len(c) - 1 for c in cut)
         if n > best[1]:
@@ -122,6 +126,9 @@ def kind_of(text: str | None) -> str | None:
         return "junk"
     tagged = sum(map(len, _TAG.findall(t)))
     if tagged > 0.5 * len(t):
+        held = len(_words(_TAG.sub(" ", t)))
+        if held >= 10 and held * 4 > 0.05 * len(t):
+            return "table" if re.search("<t[dr]\\b", t) else "list" if "<li" in t else "junk"
         return "junk"
     if len(tokens) >= 8 or chars > 80:
         counts = Counter(lower)
@@ -135,12 +142,13 @@ def kind_of(text: str | None) -> str | None:
         return "junk"
     common = sum(map(_COMMON.__contains__, lower))
     share = common / max(1, len(w))
-    if _junk_words(w) > 0.3 and share < 0.1:
+    if share < 0.1 and _junk_words(w) > (0.12 if share < 0.03 and len(w) >= 10 else 0.3):
         return "junk"
     if len(w) >= 6 and share < 0.1 and len(_MISPLACED.findall(t)) > 0.15 * len(w):
         return "junk"
-    singles = sum(len(x) <= 2 and not x.isdigit() for x in re.findall(r"[^\W_]+", t))
-    if singles > 0.45 * max(1, len(re.findall(r"[^\W_]+", t))) and len(tokens) >= 10 and share < 0.2:
+    runs = _RUN.findall(t)
+    # words that fell apart
+    if len(tokens) >= 10 and sum(map(len, runs)) < 2.7 * len(runs) and sum(x.isdigit() for x in runs) < 0.3 * len(runs):
         return "junk"
     return _layout(t, tokens, w, share)
 
