@@ -144,10 +144,11 @@ def near_records(df: DataFrame, k: int = 5, t: float = 0.8, least_words: int = 2
             yield pa.RecordBatch.from_arrays([pa.array(list(c), ty) for c, ty in zip(cols, types)], names=["src", "rec_id", "a", "sig", "last", "short"])
 
     indexed = cut(base.mapInArrow(index, "src int, rec_id bigint, a int, sig bigint, last bigint, short array<bigint>"))
-    classes = indexed.groupBy("src", "sig", "a").agg(F.min("rec_id").alias("rep"), F.count_distinct("rec_id").alias("n"))
-    classes = cut(classes)
-    reps = indexed.join(classes.select("src", "sig", "a", F.col("rep").alias("rec_id")), ["src", "sig", "a", "rec_id"], "left_semi").dropDuplicates(["src", "rec_id"])
-    lists = reps.select("src", "rec_id", "a", "last", F.explode("short").alias("key"))
+    # one pass makes the classes and keeps the lists of their first records; copies meet on the map side
+    classes = cut(
+        indexed.groupBy("src", "sig", "a").agg(F.min("rec_id").alias("rep"), (F.max("rec_id") > F.min("rec_id")).alias("several"), F.min_by(F.struct("last", "short"), "rec_id").alias("own")).select("src", "sig", "a", "rep", "several", "own.last", "own.short")
+    )
+    lists = classes.select("src", F.col("rep").alias("rec_id"), "a", "last", F.explode("short").alias("key"))
     # the record whose short lists end first is the query: its matches hold all their smaller keys in their own short lists
     # both sides are one exchange: columns are named after the join
     both = lists.alias("l").join(lists.alias("r"), (F.col("l.src") == F.col("r.src")) & (F.col("l.key") == F.col("r.key")))
@@ -184,7 +185,8 @@ def near_records(df: DataFrame, k: int = 5, t: float = 0.8, least_words: int = 2
     candidates = cut(grouped.mapInArrow(search, "src int, x bigint, y bigint, n int"))
     # texts of all members of classes that have a candidate or several members
     ends = candidates.select("src", F.explode(F.array("x", "y")).alias("rep")).distinct()
-    wanted = classes.join(ends, ["src", "rep"], "left").where(F.col("n") > 1).select("src", "rep", "sig", "a").unionByName(classes.join(ends, ["src", "rep"]).select("src", "rep", "sig", "a")).distinct()
+    key = ["src", "rep", "sig", "a"]
+    wanted = classes.where("several").select(*key).unionByName(classes.select(*key).join(ends, ["src", "rep"], "left_semi").select(*key)).distinct()
     wanted = cut(wanted)
     members = indexed.select("src", "sig", "a", "rec_id").join(broadcast_if_small(wanted, CANDIDATE_ROWS), ["src", "sig", "a"]).select("src", "rep", "rec_id").distinct()
     members = cut(members)
