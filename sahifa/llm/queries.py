@@ -10,6 +10,15 @@ from ..runtime import table
 from . import leaks as _leaks, lookalikes as _lookalikes, mixing as _mixing, near as _near, pairs as _pairs, quality as _quality, reading as _reading, tokens as _tokens
 
 
+def once(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows delivered twice count once; rows with a null key are told apart by nothing and all stay."""
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    own = F.when(known, F.lit(-1).cast("bigint")).otherwise(F.monotonically_increasing_id())
+    return df.withColumn("__own", own).dropDuplicates([*keys, "__own"]).drop("__own")
+
+
 def texts(spark: SparkSession, d: str) -> DataFrame:
     """The texts of problem 3: train_phase_1.text and egyptian_figures_data.summary."""
     train = table(spark, d, "train_phase_1").select(F.lit("train_phase_1").alias("src_table"), "rec_id", "text")
@@ -37,7 +46,7 @@ def counted(spark: SparkSession, d: str) -> DataFrame:
     keys = ["src_table", "rec_id", "source", "category"]
     counts = _tokens.count_tokens(rows, table(spark, d, "tokenizer_vocab"), table(spark, d, "tokenizer_merges"), keys)
     named = counts.select("src_table", "rec_id", _tokens.name_key(F.col("source")).alias("source"), _tokens.name_key(F.col("category")).alias("category"), "lang", "tokens")
-    return named.dropDuplicates(["src_table", "rec_id"])
+    return once(named, ["src_table", "rec_id"])
 
 
 def p4_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +84,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
-    return _lookalikes.consistent_forms(values(spark, d)).dropDuplicates(["src_table", "rec_id", "field"])
+    return once(_lookalikes.consistent_forms(values(spark, d)), ["src_table", "rec_id", "field"])
 
 
 _SOURCES = {0: "train_phase_1", 1: "output_dataset"}

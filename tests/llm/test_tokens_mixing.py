@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sahifa.llm import mixing, tokens
+from sahifa.llm.queries import once
 
 
 def tables(spark, data):
@@ -95,3 +96,9 @@ def test_mix_of_nothing(spark):
     assert {r.source for r in mixing.mix(counts(spark), targets).select("source").distinct().collect()} == {"big"}
     zero = counts(spark).withColumn("tokens", F.lit(0).cast("bigint"))
     assert mixing.mix(zero, targets).where("copies > 1").count() == 0
+
+
+def test_rows_without_a_key_all_stay(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, "b"), (2, None)], "k int, v string")
+    assert once(df, ["k"]).count() == 4
+    assert once(df, ["k", "v"]).count() == 4
