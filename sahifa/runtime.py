@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
-import shutil
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -38,8 +39,16 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped or any(x and os.path.realpath(x) == str(root) for x in known):
         return
     _shipped.add(app)
-    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "sahifa"), "zip", root, "sahifa")
-    spark.sparkContext.addPyFile(made)
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((root / "sahifa").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    target = f"{shared_dir(spark)}/sahifa-{app}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(target)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
