@@ -42,8 +42,20 @@ def file_name(title: Column) -> Column:
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """A link that begins with / under the authority of its page; others are taken as absolute."""
-    return F.when(href.startswith("/"), F.concat(F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1), href)).otherwise(href)
+    """A link as seen from its page: absolute, by scheme, authority, directory, query or fragment. Dot segments stay."""
+    scheme = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
+    authority = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_replace(base, "[?#].*$", "")
+    folder = F.when(F.length(path) > F.length(authority), F.regexp_replace(path, "[^/]*$", "")).otherwise(F.concat(authority, F.lit("/")))
+    return (
+        F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(scheme, href))
+        .when(href.startswith("/"), F.concat(authority, href))
+        .when(href == "", base)
+        .when(href.startswith("?"), F.concat(path, href))
+        .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
+        .otherwise(F.concat(folder, href))
+    )
 
 
 def contains_any(c: Column, marks: list[str]) -> Column:

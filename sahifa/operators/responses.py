@@ -173,3 +173,15 @@ def name_flags(items: DataFrame, name: str, related: DataFrame, unrelated: DataF
     no = unrelated.select(F.col(name)).distinct().withColumn("__no", F.lit(True))
     joined = items.join(yes, name, "left").join(no, name, "left")
     return joined.withColumn("flag", F.when(F.col("__yes"), True).when(F.col("__no"), False)).drop("__yes", "__no")
+
+
+def batch_flags(items: DataFrame, answers: DataFrame, name: str = "name", fail_open: bool = True) -> DataFrame:
+    """items(batch, name) with flag from answers(batch, related, unrelated, failed), one row per batch at most.
+
+    A name in related is true, one in unrelated false, any other not decided (null). Of a batch that failed or has no
+    answer all names are true with fail_open, else not decided.
+    """
+    joined = items.join(answers.select("batch", "related", "unrelated", F.coalesce("failed", F.lit(False)).alias("__bad"), F.lit(True).alias("__there")), "batch", "left")
+    bad = F.col("__there").isNull() | F.col("__bad")
+    flag = F.when(bad, F.lit(True if fail_open else None).cast("boolean")).when(F.array_contains("related", F.col(name)), True).when(F.array_contains("unrelated", F.col(name)), False)
+    return joined.withColumn("flag", flag).drop("related", "unrelated", "__bad", "__there")

@@ -155,3 +155,9 @@ def parse_pages(df: DataFrame, keys: list[str], column: str = "wikitext") -> Dat
 
     schema = ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", infobox map<string,string>, plain string"
     return df.select(*keys, column).mapInArrow(run, schema)
+
+
+def figure_records(pages: DataFrame) -> DataFrame:
+    """name, url, category, title, summary and infobox of pages(name, url, category, title, wikitext)."""
+    parsed = parse_pages(pages, ["name", "url", "category", "title"])
+    return parsed.select("name", "url", "category", "title", summary(F.col("plain")).alias("summary"), "infobox")

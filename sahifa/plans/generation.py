@@ -23,6 +23,17 @@ SQL_Q13 = f"""SELECT batch, count(*) AS items, 'Names: [''' || string_agg(name,
  FROM (SELECT name, position, position // {BATCH} AS batch FROM (SELECT name, row_number() OVER (ORDER BY name, link) - 1 AS position FROM category_links)) GROUP BY 1"""
 
 
+def q13_batch_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Categories flagged batch by batch; the second batch failed, which leaves its names in."""
+    items = dedup.batches(table(spark, d, "category_links").select("name", "link", "is_egypt_related"), ["name", "link"], BATCH)
+    answers = items.groupBy("batch").agg(F.collect_set(F.when(F.col("is_egypt_related"), F.col("name"))).alias("related"), F.collect_set(F.when(~F.col("is_egypt_related"), F.col("name"))).alias("unrelated")).withColumn("failed", F.col("batch") == 1)
+    return responses.batch_flags(items.select("batch", "name", "link"), answers).select(F.col("batch").cast("bigint").alias("batch"), "name", "link", "flag")
+
+
+SQL_Q13_BATCH = f"""WITH i AS (SELECT name, link, is_egypt_related AS e, (row_number() OVER (ORDER BY name, link) - 1) // {BATCH} AS batch FROM category_links)
+ SELECT batch, name, link, CASE WHEN batch = 1 THEN true WHEN bool_or(coalesce(e, false)) OVER (PARTITION BY batch, name) THEN true WHEN bool_or(coalesce(NOT e, false)) OVER (PARTITION BY batch, name) THEN false END AS flag FROM i"""
+
+
 def q13_name_flags(spark: SparkSession, d: str) -> DataFrame:
     """Categories by whether a list of names holds them; names that came back altered stay undecided."""
     c = table(spark, d, "category_links")
@@ -164,5 +175,5 @@ def q20_token_usage(spark: SparkSession, d: str) -> DataFrame:
 
 SQL_Q20 = f"""SELECT sum(q)::BIGINT AS prompt_tokens, sum(a)::BIGINT AS completion_tokens, (sum(q) + sum(a))::BIGINT AS total_tokens FROM (SELECT {_WORDS.format("coalesce(p.question, '')")} AS q, {_WORDS.format("coalesce(p.answer, '')")} AS a FROM (SELECT unnest(qa_pairs) AS p FROM (SELECT DISTINCT ON (rec_id) rec_id, qa_pairs FROM output_dataset)))"""
 
-QUERIES = {f.__name__: f for f in (q13_classify_batches, q13_name_flags, q13_flag_counts, q14_seed_prompt, q15_response_validate, q16_output_record, q17_skip_reasons, q18_resume_anti_join, q18_new_articles, q19_seeded_sample, q20_token_usage)}
-SQL = {"q13_classify_batches": SQL_Q13, "q13_name_flags": SQL_Q13_FLAGS, "q13_flag_counts": SQL_Q13_COUNTS, "q14_seed_prompt": SQL_Q14, "q15_response_validate": SQL_Q15, "q16_output_record": SQL_Q16, "q17_skip_reasons": SQL_Q17, "q18_resume_anti_join": SQL_Q18, "q18_new_articles": _new_articles_sql(), "q19_seeded_sample": SQL_Q19, "q20_token_usage": SQL_Q20}
+QUERIES = {f.__name__: f for f in (q13_classify_batches, q13_batch_flags, q13_name_flags, q13_flag_counts, q14_seed_prompt, q15_response_validate, q16_output_record, q17_skip_reasons, q18_resume_anti_join, q18_new_articles, q19_seeded_sample, q20_token_usage)}
+SQL = {"q13_classify_batches": SQL_Q13, "q13_batch_flags": SQL_Q13_BATCH, "q13_name_flags": SQL_Q13_FLAGS, "q13_flag_counts": SQL_Q13_COUNTS, "q14_seed_prompt": SQL_Q14, "q15_response_validate": SQL_Q15, "q16_output_record": SQL_Q16, "q17_skip_reasons": SQL_Q17, "q18_resume_anti_join": SQL_Q18, "q18_new_articles": _new_articles_sql(), "q19_seeded_sample": SQL_Q19, "q20_token_usage": SQL_Q20}

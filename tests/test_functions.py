@@ -1,5 +1,5 @@
 import random
-from urllib.parse import unquote, urlparse
+from urllib.parse import unquote, urljoin, urlparse
 
 from pyspark.sql import functions as F
 
@@ -57,3 +57,9 @@ def test_links(spark):
     assert column(spark, hrefs, urls.is_subcategory_link) == [True, False, False, False, True, None]
     assert column(spark, hrefs, urls.is_article_link) == [False, True, False, False, False, None]
     assert column(spark, hrefs, urls.is_paging_link) == [False, False, False, True, False, None]
+
+
+def test_resolve(spark):
+    hrefs = ["/wiki/x", "x", "x/y?z", "?q=1", "#f", "", "//o/p", "https://o/q", "mailto:a@b"]
+    for base in ("https://h/a/b?c#d", "https://h", "https://h/a/"):
+        assert column(spark, hrefs, lambda c: urls.resolve(F.lit(base), c)) == [urljoin(base, h) if not (h == "" and "#" in base) else base for h in hrefs]

@@ -136,3 +136,16 @@ def test_validate_of_nulls_and_nothing(spark):
     df = spark.createDataFrame([("n", None), ("m", "")], "name string, raw string")
     assert {r.status for r in responses.validate(responses.repaired(df, "raw")).collect()} == {"rejected"}
     assert responses.validate(df.limit(0)).count() == 0
+
+
+def test_figure_records(spark):
+    page = ("n", "u", None, "t", "{{Infobox x|a=1}}First line.\n\nSecond.\n=x\nThird.\nFourth.\n== H ==\nFifth.")
+    r = wikitext.figure_records(spark.createDataFrame([page], "name string, url string, category string, title string, wikitext string")).first()
+    assert (r.summary, r.infobox, r.category) == ("First line. Second. Third.", {"a": "1"}, None)
+
+
+def test_batch_flags(spark):
+    items = spark.createDataFrame([(0, "a"), (0, "b"), (0, "c"), (1, "d"), (2, "e")], "batch int, name string")
+    answers = spark.createDataFrame([(0, ["a"], ["b", "a"], None), (1, None, None, True)], "batch int, related array<string>, unrelated array<string>, failed boolean")
+    assert {r.name: r.flag for r in responses.batch_flags(items, answers).collect()} == {"a": True, "b": False, "c": None, "d": True, "e": True}
+    assert {r.name: r.flag for r in responses.batch_flags(items, answers, fail_open=False).collect()}["d"] is None
