@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 #: log2 of the feature table of each language; n-grams of one to three characters are hashed into it.
 FEATURE_BITS = 15
 _V = 1 << FEATURE_BITS
 _SEEN = 0.9
+_OTHER = re.compile(r"[\W\d_]+")
 
 #: A little ordinary text of each language, the only training text of those the corpus itself does not hold.
 SEEDS = {
@@ -25,8 +28,7 @@ SEEDS = {
 
 def features(text: str) -> np.ndarray:
     """Hashed n-grams of one to three characters; digits and punctuation count as spaces."""
-    clean = "".join(c if c.isalpha() else " " for c in text.lower())
-    clean = f" {' '.join(clean.split())} "
+    clean = f" {_OTHER.sub(' ', text.lower()).strip()} "
     c = np.frombuffer(clean.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     if len(c) < 3:
         return np.empty(0, dtype=np.int64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -13,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .language import FEATURE_BITS, Languages, features
-from .text import WORD_RE, plain, script_of
+from .text import MARKS_RE, WORD_RE, compose, plain, script_of
 
 #: log2 of the hashed tables of the end-of-text model: words and word pairs, all and those that end a sentence.
 END_BITS = 18
 #: Below this likelihood of an end after its last words a text without a final mark is broken off.
-END_LIKELIHOOD = 0.2
+END_LIKELIHOOD = 0.03
+#: Weight of a place in the article against the corpus behind it.
+ARTICLE_WEIGHT = 100.0
 #: Share of the question's words, in order, that a copy of it keeps; words a copy may add; words of another language.
 FREQUENT = 0.0005
 #: Up to this share of all words a word is taken for a name.
@@ -32,7 +35,7 @@ _SPLIT = re.compile(r"(?<=[.!?؟؛;…])[\"'»”)]*\s+|\n+")
 _MARK = re.compile(r"[.!?؟]+[\"'»”’)\]]*$")
 _OPEN = re.compile(r"(?:\.\.\.?|…|[،,؛;:\-–—])[\"'»”’)\]]*$")
 _PARENS = re.compile(r"[(\[«][^()\[\]«»]{0,80}[)\]»]")
-_DIGITS = re.compile(r"\d")
+_NUMBERED = re.compile(r"[^\W_]*\d[^\W_]*")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 #: Answers that say nothing, as words.
@@ -43,8 +46,10 @@ PLACEHOLDERS = frozenset(
 ASKING = frozenset("من ما ماذا متى أين لماذا كيف كم أي هل بم لم who whom whose what when where why how which qui que quoi quand où pourquoi comment combien quel quelle چه چرا کجا کی چگونه چند".split())
 
 #: Cues by which a speaker declines or says that the answer is not known. Polite openings alone are none.
+#: All begin a word: one boundary before the alternatives spares trying each of them inside words.
 _REFUSALS = re.compile(
-    "|".join(
+    r"\b(?:"
+    + "|".join(
         [
             # Arabic, first person or about what is given
             r"\b(?:لا|لن|لست|ليس)\s+(?:أستطيع|استطيع|يمكنني|بإمكاني|بوسعي|أقدر|أعرف|اعرف|أعلم|اعلم|أدري|أملك|أمتلك|لدي|عندي|في وسعي)",
@@ -66,16 +71,26 @@ _REFUSALS = re.compile(
             r"نمی\s*‌?\s*(?:توانم|دانم)|اطلاعی\s+ندارم|پاسخ\s+(?:نمی|این\s+پرسش\s+را\s+نمی)|متأسفانه\s+(?:نمی|این)|معذورم",
         ]
     )
+    + ")"
 )
 
 
-def _bucket(words: np.ndarray) -> np.ndarray:
-    return (pd.util.hash_array(words, categorize=True) >> np.uint64(64 - END_BITS)).astype(np.int64)
+_MASK = (1 << END_BITS) - 1
+
+
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.encode()) & _MASK
+
+
+def _pair_bucket(a, b):
+    """The bucket of two neighbouring words, from their buckets; for numbers and arrays."""
+    h = a * 40503 + b * 60493
+    return (h ^ (h >> 9)) & _MASK
 
 
 def _tokens(t: str) -> list[str]:
     """Words for the end-of-text model; all numbers are one word."""
-    return ["0" if _DIGITS.search(w) else w for w in WORD_RE.findall(t)]
+    return WORD_RE.findall(_NUMBERED.sub("0", t))
 
 
 def corpus_model(df: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -90,20 +105,14 @@ def corpus_model(df: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         ends = np.zeros((4, size), dtype=np.int64)
         seen = {x: np.zeros(1 << FEATURE_BITS, dtype=np.int64) for x in langs}
         for b in batches:
-            one: list[str] = []
-            two: list[str] = []
-            last_one: list[str] = []
-            last_two: list[str] = []
+            flat: list[str] = []
+            lengths: list[int] = []
             by_script: dict[str, Counter] = {x: Counter() for x in langs}
             for article, qa in zip(b["article"].to_pylist(), b["qa_pairs"].to_pylist()):
                 for s in _SPLIT.split(plain(article)) if article else ():
-                    w = _tokens(s)
-                    if len(w) < 3 or not _MARK.search(s):
-                        continue
-                    one += w
-                    two += [f"{x} {y}" for x, y in zip(w, w[1:])]
-                    last_one.append(w[-1])
-                    last_two.append(f"{w[-2]} {w[-1]}")
+                    if _MARK.search(s) and len(w := _tokens(s)) >= 3:
+                        flat += w
+                        lengths.append(len(w))
                 for t in (article, *(q["question"] for q in qa or () if q)):
                     if t and (script := script_of(t)) in by_script:
                         by_script[script].update(_LETTERS.findall(t.lower()))
@@ -112,9 +121,17 @@ def corpus_model(df: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
                 for w, n in found.items():
                     if n >= least:
                         np.add.at(seen[script], features(w), n)
-            for i, x in enumerate((one, two, last_one, last_two)):
-                if x:
-                    ends[i] += np.bincount(_bucket(np.array(x, dtype=object)), minlength=size)
+            if flat:
+                words = np.empty(len(flat), dtype=object)
+                words[:] = flat
+                codes, unique = pd.factorize(words)
+                at = np.fromiter((_bucket(w) for w in unique), dtype=np.int64, count=len(unique))[codes]
+                last = np.cumsum(lengths) - 1
+                pairs = _pair_bucket(at[:-1], at[1:])
+                inside = np.ones(len(pairs), dtype=bool)
+                inside[last[:-1]] = False
+                for i, x in enumerate((at, pairs[inside], at[last], pairs[last - 1])):
+                    ends[i] += np.bincount(x, minlength=size)
         names = [*(f"e{i}" for i in range(4)), *langs]
         tables = [*ends, *(seen[x] for x in langs)]
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([t.tobytes() for t in tables], pa.binary())], names=["name", "counts"])
@@ -139,6 +156,7 @@ class Judge:
 
     def __init__(self, ends: np.ndarray, languages: Languages) -> None:
         self.ends, self.languages, self.total = ends, languages, int(ends[0].sum())
+        self.words = ends[0].tolist()
 
     def defect(self, question: str | None, answer: str | None, article: str | None) -> str | None:
         if answer is None:
@@ -162,10 +180,14 @@ class Judge:
         if len(WORD_RE.findall(body)) < FOREIGN_WORDS or not question.strip():
             return False
         names = self.languages.names
-        asked = self.languages.log_posteriors(self._without_names(_PARENS.sub(" ", question)))
-        given = self.languages.log_posteriors(self._without_names(body))
-        own, other = int(asked.argmax()), int(given.argmax())
         usual = names.index("ar" if script_of(question) == "ar" else "en")
+        given = self.languages.log_posteriors(self._without_names(body))
+        other = int(given.argmax())
+        asked = self.languages.log_posteriors(question)
+        if other == usual == int(asked.argmax()):
+            return False
+        asked = self.languages.log_posteriors(self._without_names(_PARENS.sub(" ", question)))
+        own = int(asked.argmax())
         if asked[own] - asked[usual] < QUESTION_ODDS:  # a short question is taken to be in the usual language of its script
             own = usual
         if own == other:
@@ -175,22 +197,25 @@ class Judge:
 
     def _without_names(self, text: str) -> str:
         """The text without words that are rare, but not unknown, in the corpus: mostly names, which say nothing of a language."""
-        found = [w for s in _SPLIT.split(text) for i, w in enumerate(WORD_RE.findall(s)) if i == 0 or not (w[0].isupper() and w[0] < "\u0250")]
-        if not found:
-            return text
-        n = self.ends[0, _bucket(np.array([plain(w) for w in found], dtype=object))]
-        kept = [w for w, c in zip(found, n) if c == 0 or c > RARE * self.total]
+        bare = MARKS_RE.sub("", compose(text))
+        found = [w for s in _SPLIT.split(bare) for i, w in enumerate(WORD_RE.findall(s)) if i == 0 or not (w[0].isupper() and w[0] < "\u0250")]
+        counts, most = self.words, RARE * self.total
+        kept = []
+        for w in found:
+            n = counts[_bucket(w.lower())]
+            if n == 0 or n > most:
+                kept.append(w)
         return " ".join(kept) if len(kept) >= 3 else text
 
     def end_likelihood(self, words: list[str], article_words: list[str], article_ends: set[int]) -> float:
         """Likelihood that a text may end after its last words: those of the article first, backed off to the corpus."""
-        w = ["0" if _DIGITS.search(x) else x for x in words]
+        w = _tokens(" ".join(words[-2:]))
         if not w[-1].isascii() and len(w[-1]) == 1 or w[-1] == "ال":
             return 0.0
-        b1 = _bucket(np.array([w[-1]], dtype=object))[0]
+        b1 = _bucket(w[-1])
         p = (self.ends[2, b1] + 0.5) / (self.ends[0, b1] + 2.0)
-        if len(w) > 1:
-            b2 = _bucket(np.array([f"{w[-2]} {w[-1]}"], dtype=object))[0]
+        if len(w) > 1 and not (self.ends[0, b1] >= 50 and p < 0.01):  # else a word that never ends a sentence, whatever stands before it
+            b2 = _pair_bucket(_bucket(w[-2]), b1)
             p = (self.ends[3, b2] + 2.0 * p) / (self.ends[1, b2] + 2.0)
         # the article as the closest context: where its words run as these do
         for k in (5, 4, 3):
@@ -200,7 +225,7 @@ class Judge:
             at = [i + k - 1 for i in range(len(article_words) - k + 1) if article_words[i : i + k] == tail]
             if at:
                 ended = sum(i in article_ends for i in at)
-                return (10.0 * ended + p) / (10.0 * len(at) + 1.0)
+                return (ARTICLE_WEIGHT * ended + p) / (ARTICLE_WEIGHT * len(at) + 1.0)
         if len(words) >= 3:  # a word that breaks off inside
             tail = words[-3:-1]
             for i in range(len(article_words) - 2):
@@ -211,14 +236,12 @@ class Judge:
     def _breaks_off(self, a: str, article: str, q: str) -> bool:
         if _OPEN.search(a) or _unclosed(a):
             return True
-        words = WORD_RE.findall(a)
-        marked = bool(_MARK.search(a))
-        last = _SPLIT.split(a)[-1]
-        tail = WORD_RE.findall(last) or words
-        if marked:
-            return False
-        if a.endswith((")", "]", "»", "”")):
+        if _MARK.search(a) or a.endswith((")", "]", "»", "”")):
             return False
+        words = WORD_RE.findall(a)
+        pieces = _SPLIT.split(a)
+        if len(pieces) > 1 and len(WORD_RE.findall(pieces[-1])) <= 2:
+            return True  # a sentence was only begun
         spans = [(m.group(), m.end()) for m in WORD_RE.finditer(article)]
         article_words = [s for s, _ in spans]
         ends = {i for i, (_, e) in enumerate(spans) if re.match(r"[\"'»”)\]]*\s*(?:[.!?؟؛;…\n]|$)", article[e : e + 6])}
@@ -227,12 +250,14 @@ class Judge:
             if words[-1].isdigit():
                 return False
             known = words[-1] in article_words
-            b1 = _bucket(np.array([words[-1]], dtype=object))[0]
+            b1 = _bucket(words[-1])
             leads = self.ends[0, b1] >= 50 and self.ends[2, b1] < 0.002 * self.ends[0, b1]
             partial = not known and any(x.startswith(words[-1]) for x in article_words)
             verb = len(words) > 1 and words[0] not in q and any(article_words[i - 1 : i + 1] == words[:2] and (i < 2 or i - 2 in ends) for i in range(1, len(article_words)))
             return bool(leads or partial or verb)
-        return self.end_likelihood(tail if len(tail) >= 2 else words, article_words, ends) < END_LIKELIHOOD
+        if words[-1] not in article_words and words[-1] not in q and any(x == words[-2] and y.startswith(words[-1]) for x, y in zip(article_words, article_words[1:])):
+            return True  # the article has a longer word here
+        return self.end_likelihood(words, article_words, ends) < END_LIKELIHOOD
 
 
 def _unclosed(a: str) -> bool:
@@ -248,6 +273,8 @@ def _copies(asked: list[str], words: list[str], a: str) -> bool:
     """The answer gives back the question, possibly altered a little or twice, and little else."""
     if len(words) > 6 * len(asked) + COPY_EXTRA:
         return False
+    if sum(map(set(words).__contains__, asked)) < COPY_SHARE * len(asked):
+        return False
     at, end, copies = 0, 0, 0
     while at < len(words):
         blocks = [m for m in SequenceMatcher(None, asked, words[at:], autojunk=False).get_matching_blocks() if m.size]
