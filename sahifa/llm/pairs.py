@@ -113,18 +113,15 @@ def corpus_model(df: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
                     if _MARK.search(s) and len(w := _tokens(s)) >= 3:
                         flat += w
                         lengths.append(len(w))
-                for t in (article, *(q["question"] for q in qa or () if q)):
-                    if t and (script := script_of(t)) in by_script:
-                        by_script[script].update(_LETTERS.findall(t.lower()))
-            for script, found in by_script.items():
-                least = max(5, FREQUENT * found.total())
-                for w, n in found.items():
-                    if n >= least:
-                        np.add.at(seen[script], features(w), n)
+                for q in qa or ():
+                    if q and q["question"] and (script := script_of(q["question"])) in by_script:
+                        by_script[script].update(_LETTERS.findall(q["question"].lower()))
             if flat:
                 words = np.empty(len(flat), dtype=object)
                 words[:] = flat
                 codes, unique = pd.factorize(words)
+                for w, n in zip(unique, np.bincount(codes).tolist()):
+                    by_script["ar" if w[0] >= "\u0600" else "en"][w] += n
                 at = np.fromiter((_bucket(w) for w in unique), dtype=np.int64, count=len(unique))[codes]
                 last = np.cumsum(lengths) - 1
                 pairs = _pair_bucket(at[:-1], at[1:])
@@ -132,6 +129,11 @@ def corpus_model(df: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
                 inside[last[:-1]] = False
                 for i, x in enumerate((at, pairs[inside], at[last], pairs[last - 1])):
                     ends[i] += np.bincount(x, minlength=size)
+            for script, found in by_script.items():
+                least = max(5, FREQUENT * found.total())
+                for w, n in found.items():
+                    if n >= least:
+                        np.add.at(seen[script], features(w), n)
         names = [*(f"e{i}" for i in range(4)), *langs]
         tables = [*ends, *(seen[x] for x in langs)]
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([t.tobytes() for t in tables], pa.binary())], names=["name", "counts"])
