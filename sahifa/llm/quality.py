@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..runtime import broadcast_if_small, cut
 from .prose import kind_of, measures
 from .text import script_of
 
 STATISTICS = ["word_count", "mean_word_length", "symbol_ratio", "ended_line_share", "common_word_share", "distinct_word_share", "sentence_length", "digit_token_share"]
-#: Sum over the statistics of -ln(two-sided tail probability) from which a text counts as an outlier.
+#: Sum over the statistics of -ln(two-sided tail probability among prose) from which a text counts as an outlier.
 #: For a text like all others the expected sum is about one per statistic or less.
 OUTLIER_SCORE = 6.0
 #: More distinct (language, statistic, value) rows than this are joined by shuffle.
@@ -45,13 +45,14 @@ def profile(df: DataFrame) -> DataFrame:
     return rows.groupBy("src_table", "rec_id").agg(best).select("src_table", "rec_id", "m.*")
 
 
-def ranks(values: DataFrame) -> DataFrame:
+def ranks(values: DataFrame, weight: Column | None = None) -> DataFrame:
     """Exact ranks within (lang, stat): values(lang, stat, value) -> one row per distinct value with below, upto and total.
 
-    below and upto are the numbers of rows under and up to the value. Distinct values are counted before anything is
+    below and upto are the numbers of rows under and up to the value; a row counts `weight` times (once if not given), so
+    one of weight 0 has a rank among the others without being one of them. Distinct values are counted before anything is
     sorted, then sorted by ranges; a range adds the counts of the ranges before it, so no task sees a whole group.
     """
-    counts = values.groupBy("lang", "stat", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = values.groupBy("lang", "stat", "value").agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
     parts = cut(counts.repartitionByRange("lang", "stat", "value").withColumn("part", F.spark_partition_id()))
     sums = parts.groupBy("lang", "stat", "part").agg(F.sum("n").alias("in_part"))
     before = Window.partitionBy("lang", "stat").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,13 +65,18 @@ def ranks(values: DataFrame) -> DataFrame:
 
 
 def score(profiles: DataFrame) -> DataFrame:
-    """profiles with outlier_score: the sum over the statistics of -ln of the two-sided empirical tail probability among distinct profiles."""
+    """profiles with outlier_score: the sum over the statistics of -ln of the two-sided empirical tail probability.
+
+    Tails are those among the distinct profiles of the language whose shape is prose, the ranked one counted as one more
+    of them, so a shape scores the same however common it is.
+    """
     stats = F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in STATISTICS])).alias("s")
     long = profiles.select("src_table", "rec_id", "lang", stats).select("src_table", "rec_id", "lang", "s.stat", "s.value")
     # copies of a text have one profile and count once, or a hot group of them would be the middle of the distribution
-    single = profiles.select("lang", *STATISTICS).distinct().select("lang", stats).select("lang", "s.stat", "s.value")
-    tail = F.least(F.lit(1.0), 2 * F.least(F.col("upto") / F.col("total"), (F.col("total") - F.col("below")) / F.col("total")))
-    tails = cut(ranks(single).select("lang", "stat", "value", (-F.log(tail)).alias("surprise")))
+    single = profiles.select("lang", "shape", *STATISTICS).distinct().select("lang", "shape", stats).select("lang", "shape", "s.stat", "s.value")
+    ranked = ranks(single, (F.col("shape") == "prose").cast("int"))
+    tail = F.least(F.lit(1.0), 2 * (F.least(F.col("upto"), F.col("total") - F.col("below")) + 1) / (F.col("total") + 1))
+    tails = cut(ranked.select("lang", "stat", "value", (-F.log(tail)).alias("surprise")))
     scores = long.join(broadcast_if_small(tails, BROADCAST_ROWS), ["lang", "stat", "value"]).groupBy("src_table", "rec_id").agg(F.round(F.sum("surprise"), 6).alias("outlier_score"))
     return profiles.join(scores, ["src_table", "rec_id"])
 

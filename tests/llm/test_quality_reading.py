@@ -62,6 +62,20 @@ def test_a_third_of_copies(spark):
     assert {r.rec_id for r in got} == set(range(1000, 1050)) and {r.kind for r in got} == {"list"}
 
 
+def listed(i):
+    """Lists of varied length and entries."""
+    rnd = random.Random(i)
+    return "\n".join(f"- {rnd.choice(NAMES)} {rnd.choice('abcdefgh')}{i}" for _ in range(rnd.randint(6, 40)))
+
+
+@pytest.mark.parametrize("n", [10, 500])
+def test_different_lists_are_found_however_common(spark, n):
+    rows = [("t", i, prose(i)) for i in range(1000)]
+    rows += [("t", 5000 + i, listed(i)) for i in range(n)]
+    got = quality.quality(frame(spark, rows)).where("kind <> 'prose'").collect()
+    assert {r.rec_id for r in got} == set(range(5000, 5000 + n)) and {r.kind for r in got} == {"list"}
+
+
 def test_quality_of_nothing_and_of_a_long_text(spark):
     assert quality.quality(frame(spark, [])).count() == 0
     r = quality.quality(frame(spark, [("t", 1, PROSE * 3000)])).first()
