@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +16,9 @@ STATISTICS = ["word_count", "mean_word_length", "symbol_ratio", "ended_line_shar
 #: Sum over the statistics of -ln(two-sided tail probability among prose) from which a text counts as an outlier.
 #: For a text like all others the expected sum is about one per statistic or less.
 OUTLIER_SCORE = 6.0
+#: From so many prose profiles on, one statistic beyond all of them is enough for that score. A language with fewer is
+#: ranked among those of all languages; where even these are fewer, the score cannot tell and the shape alone decides.
+LEAST_PROSE = math.ceil(2 * math.exp(OUTLIER_SCORE))
 #: More distinct (language, statistic, value) rows than this are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -65,19 +69,29 @@ def ranks(values: DataFrame, weight: Column | None = None) -> DataFrame:
 
 
 def score(profiles: DataFrame) -> DataFrame:
-    """profiles with outlier_score: the sum over the statistics of -ln of the two-sided empirical tail probability.
+    """profiles with outlier_score and reference, the number of prose profiles that it was ranked among.
 
-    Tails are those among the distinct profiles of the language whose shape is prose, the ranked one counted as one more
-    of them, so a shape scores the same however common it is.
+    The score is the sum over the statistics of -ln of the two-sided empirical tail probability. Tails are those among
+    the distinct profiles of the language whose shape is prose, the ranked one counted as one more of them, so a shape
+    scores the same however common it is. Texts without letters and languages with less prose than LEAST_PROSE are
+    ranked among the prose of all languages.
     """
-    stats = F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in STATISTICS])).alias("s")
-    long = profiles.select("src_table", "rec_id", "lang", stats).select("src_table", "rec_id", "lang", "s.stat", "s.value")
     # copies of a text have one profile and count once, or a hot group of them would be the middle of the distribution
-    single = profiles.select("lang", "shape", *STATISTICS).distinct().select("lang", "shape", stats).select("lang", "shape", "s.stat", "s.value")
-    ranked = ranks(single, (F.col("shape") == "prose").cast("int"))
+    single = profiles.select("lang", "shape", *STATISTICS).distinct()
+    is_prose = (F.col("shape") == "prose") & (F.col("lang") != "none")
+    sizes = {r["lang"]: r["n"] for r in single.groupBy("lang").agg(F.sum(is_prose.cast("int")).alias("n")).collect()}  # three rows at most
+    own = [x for x, n in sizes.items() if n >= LEAST_PROSE]
+    group = F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit("all"))
+    ranked = single.select(group.alias("lang"), is_prose.cast("int").alias("weight"), *STATISTICS)
+    if len(own) < len(sizes):
+        ranked = ranked.unionByName(single.where(F.col("lang").isin(own) & is_prose).select(F.lit("all").alias("lang"), F.lit(1).alias("weight"), *STATISTICS))
+    stats = F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in STATISTICS])).alias("s")
+    long = profiles.select("src_table", "rec_id", group.alias("lang"), stats).select("src_table", "rec_id", "lang", "s.stat", "s.value")
+    found = ranks(ranked.select("lang", "weight", stats).select("lang", "weight", "s.stat", "s.value"), F.col("weight"))
     tail = F.least(F.lit(1.0), 2 * (F.least(F.col("upto"), F.col("total") - F.col("below")) + 1) / (F.col("total") + 1))
-    tails = cut(ranked.select("lang", "stat", "value", (-F.log(tail)).alias("surprise")))
-    scores = long.join(broadcast_if_small(tails, BROADCAST_ROWS), ["lang", "stat", "value"]).groupBy("src_table", "rec_id").agg(F.round(F.sum("surprise"), 6).alias("outlier_score"))
+    tails = cut(found.select("lang", "stat", "value", (-F.log(tail)).alias("surprise"), F.col("total").alias("reference")))
+    total = [F.round(F.sum("surprise"), 6).alias("outlier_score"), F.max("reference").alias("reference")]
+    scores = long.join(broadcast_if_small(tails, BROADCAST_ROWS), ["lang", "stat", "value"]).groupBy("src_table", "rec_id").agg(*total)
     return profiles.join(scores, ["src_table", "rec_id"])
 
 
@@ -85,11 +99,12 @@ def quality(df: DataFrame) -> DataFrame:
     """Statistics, outlier_score and kind of each text (see profile for the input).
 
     kind is prose, list, table or junk; it differs from prose only for outliers whose lines and cells show the shape of
-    another kind. Empty input gives no rows.
+    another kind, and by the shape alone where there is too little prose to tell outliers. Empty input gives no rows.
     """
     scored = score(cut(profile(df)))
-    kind = F.when(F.col("outlier_score") >= OUTLIER_SCORE, F.col("shape")).otherwise(F.lit("prose"))
-    return scored.withColumn("kind", kind).drop("shape")
+    told = (F.col("outlier_score") >= OUTLIER_SCORE) | (F.col("reference") < LEAST_PROSE)
+    kind = F.when(told, F.col("shape")).otherwise(F.lit("prose"))
+    return scored.withColumn("kind", kind).drop("shape", "reference")
 
 
 def not_prose(df: DataFrame) -> DataFrame:

@@ -76,6 +76,18 @@ def test_different_lists_are_found_however_common(spark, n):
     assert {r.rec_id for r in got} == set(range(5000, 5000 + n)) and {r.kind for r in got} == {"list"}
 
 
+@pytest.mark.parametrize("n", [20, 1000])
+def test_texts_without_letters_and_small_languages_are_found(spark, n):
+    figures = "\n".join(" | ".join(str(1900 + 7 * i + j) for j in range(5)) for i in range(8))
+    symbols = "%+>{|~}?!*@^]^^.:!*<##%/= [-_+[!--$^|-./_|<|[^! &+!^}&]{<##?!=]~/]* .&/#|+@.:~?{}"
+    names = "\n".join(f"- {x}" for x in ["كفر الشيخ", "دار السلام", "باب الفتوح", "تل العمارنة", "وادي النطرون", "عين شمس", "برج العرب"])
+    assert [kind_of(x) for x in (figures, symbols, names, "123 456")] == ["table", "junk", "list", "prose"]
+    rows = [("t", i, prose(i)) for i in range(n)]
+    rows += [("u", 1, figures), ("u", 2, symbols), ("u", 3, names), ("u", 4, "123 456"), ("u", 5, ARABIC)]
+    got = {(r.rec_id, r.kind) for r in quality.not_prose(frame(spark, rows)).collect()}
+    assert got == {(1, "table"), (2, "junk"), (3, "list")}
+
+
 def test_quality_of_nothing_and_of_a_long_text(spark):
     assert quality.quality(frame(spark, [])).count() == 0
     r = quality.quality(frame(spark, [("t", 1, PROSE * 3000)])).first()
