@@ -28,13 +28,15 @@ def learn(counts: dict[str, int], size: int, least: int, specials: list[str] = S
     for c in sorted({c for w in counts for c in w}):
         vocab.setdefault(c, len(vocab))
     names = list(vocab)
-    words = [([vocab[c] for c in w], n) for w, n in counts.items()]
+    words = [[vocab[c] for c in w] for w in counts]
+    often = list(counts.values())
     total: dict[tuple[int, int], int] = defaultdict(int)
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for i, (w, n) in enumerate(words):
+    # words that hold or held the pair; one may stand there twice
+    where: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for i, w in enumerate(words):
         for p in zip(w, w[1:]):
-            total[p] += n
-            where[p].add(i)
+            total[p] += often[i]
+            where[p].append(i)
     heap = [(-n, p) for p, n in total.items()]
     heapq.heapify(heap)
     merges: list[tuple[str, str]] = []
@@ -55,22 +57,32 @@ def learn(counts: dict[str, int], size: int, least: int, specials: list[str] = S
         merges.append((names[a], names[b]))
         touched: set[tuple[int, int]] = set()
         for i in where.pop(pair):
-            w, count = words[i]
-            for p in zip(w, w[1:]):
-                total[p] -= count
-            out, j = [], 0
-            while j < len(w):
-                if j + 1 < len(w) and w[j] == a and w[j + 1] == b:
+            w, count = words[i], often[i]
+            last, gone, j, at = len(w) - 1, 0, 0, []
+            out: list[int] = []
+            while j <= last:
+                if w[j] == a and j < last and w[j + 1] == b:
+                    # the pairs at j - 1, j and j + 1 go, each once
+                    for k in range(max(gone, j - 1), min(j + 2, last)):
+                        total[w[k], w[k + 1]] -= count
+                    gone = j + 2
+                    at.append(len(out))
                     out.append(new)
                     j += 2
                 else:
                     out.append(w[j])
                     j += 1
-            words[i] = (out, count)
-            for p in zip(out, out[1:]):
-                total[p] += count
-                where[p].add(i)
-                touched.add(p)
+            if not at:
+                continue
+            words[i] = out
+            last, come = len(out) - 1, 0
+            for j in at:
+                for k in range(max(come, j - 1), min(j + 1, last)):
+                    p = (out[k], out[k + 1])
+                    total[p] += count
+                    where[p].append(i)
+                    touched.add(p)
+                come = j + 1
         total[pair] = 0
         for p in touched:
             if total[p] > 0:

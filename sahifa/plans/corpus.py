@@ -11,8 +11,8 @@ from .pages import _TRIM, normal_text_sql
 
 #: Texts that show the edges of the rules; the SQL has the same rows.
 LITERAL_TEXTS = ["أَنْتَ", "على", "a   b\n \n\n\nc", "a ‌ b", "x—y…", "ٰa", "a\n  b", "  ", "كـــتاب"]
-#: Size and least frequency of the vocabulary that is trained here.
-VOCAB, LEAST = 600, 20
+#: Size and least frequency of the vocabulary that is trained here, as in the reference.
+VOCAB, LEAST = 32_000, 5
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sahifa.operators import attention, bpe, corpus
+from sahifa.plans import corpus as plans
 
 
 def sample(seed=1, n=60):
@@ -38,6 +39,39 @@ def test_training_is_that_of_the_public_package(spark):
     assert [r.d for r in decoded] == [t.decode(enc[i].ids) for i in range(20)]
 
 
+def recounted(counts, size, least):
+    """The merges, with all pairs counted anew for each."""
+    vocab = {t: i for i, t in enumerate([*bpe.SPECIALS, *sorted({c for w in counts for c in w})])}
+    words, merges = [(list(w), n) for w, n in counts.items()], []
+    while len(vocab) < size:
+        total = {}
+        for w, n in words:
+            for p in zip(w, w[1:]):
+                total[p] = total.get(p, 0) + n
+        best = min(total, key=lambda p: (-total[p], vocab[p[0]], vocab[p[1]]), default=None)
+        if best is None or total[best] < least:
+            break
+        merges.append(best)
+        vocab.setdefault(best[0] + best[1], len(vocab))
+        words = [(bpe.merge_piece(w, {best: 0}), n) for w, n in words]
+    return vocab, merges
+
+
+def test_training_by_recounting():
+    rnd = random.Random(5)
+    for letters in ("ab", "abc", "abcdefgh"):
+        counts = {"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 12))): rnd.randint(1, 9) for _ in range(150)}
+        assert bpe.learn(counts, 120, 2) == recounted(counts, 120, 2)
+
+
+def test_the_query_trains_with_the_sizes_of_the_reference(spark, data):
+    counts = {r.piece: r.n for r in plans.q25_word_freq(spark, data).collect()}
+    vocab, merges = bpe.learn(counts, 32_000, 5)
+    assert len(merges) > 1000
+    assert {r.token: r.id for r in plans.q28_bpe_vocab(spark, data).collect()} == vocab
+    assert [(r.left_token, r.right_token) for r in plans.q28_bpe_merges(spark, data).orderBy("merge_rank").collect()] == merges
+
+
 def test_pieces(spark):
     df = spark.createDataFrame([(x,) for x in ["ab zz", " ab", "ab\ncd", "", "a  b"]], "x string")
     assert [r[0] for r in df.select(corpus.pieces(F.col("x"))).collect()] == [["▁ab", "▁zz"], ["▁ab"], ["▁ab\ncd"], [], ["▁a", "▁", "▁b"]]
