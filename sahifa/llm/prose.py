@@ -19,6 +19,7 @@ COMMON = {
 _COMMON = COMMON["ar"] | COMMON["en"]
 _HAS_DIGIT = re.compile(r"\d").search
 _BULLET = re.compile(r"^\s*(?:[^\w\s\"'«“‘(\[<]{1,2}\s+|\[.?\]\s+|\(?\d{1,3}[.)\-]\s+|\d{1,3}\s*[-–]\s+|\(?(?:[a-zA-Z]|[ivxlcIVXLC]{1,6}|[ء-ي])[.)]\s+)")
+_ALONE = re.compile(r" [^\w\s]+(?=\s)")
 _END = re.compile(r"[.!?؟…]+[\"'»”)]*\s*$")
 _TERM = re.compile(r"[.!?؟؛;]+(?=\s|$)|\n+")
 _TAG = re.compile(r"<[^<>]{1,400}>")
@@ -95,13 +96,28 @@ def _junk_words(w: list[str]) -> float:
     return bad / len(latin)
 
 
+def _repeats(w: list[str]) -> bool:
+    counts = set(map(str.lower, w))
+    return len(w) >= 12 and len(counts) / len(w) < 0.2 and len(counts) <= 12
+
+
 def _plainly_prose(t: str) -> bool:
-    """Enough function words in long lines, and nothing that sets cells or entries apart: no need to look closer."""
+    """Enough function words in long lines, no repetition, and nothing that sets cells or entries apart: no need to look closer."""
     n = t.count(" ") + t.count("\n") + 1
     held = max(sum(map(t.count, (" في ", " من ", " على ", " عام ", " مع "))), sum(map(t.count, (" the ", " of ", " in "))))
     if held < 3 or held < 0.06 * n or n < 8 * (t.count("\n") + 1) or len(t) > 14 * n:
         return False
-    return not any(x in t for x in ("|", "\t", "•", "·", "<", "~", "^", " / ", " * ", "   "))
+    if any(x in t for x in ("|", "\t", "•", "·", "<", "~", "^", " / ", " * ", "   ")):
+        return False
+    # fewer separators than _layout asks for make no cells
+    most = max(6, 0.12 * len(t.split()))
+    if any(t.count(x) >= most for x in _SEPARATORS) or len(_ALONE.findall(t)) >= 6:
+        return False
+    # nor do fewer than three marked lines make a list
+    if t.count("\n") >= 3 and sum(map(bool, map(_BULLET.match, t.split("\n")))) >= 3:
+        return False
+    # more than 13 words in a part of the text (the last may be cut) are more than 12 in the whole
+    return len(set(map(str.lower, _words(t[:200])))) > 13 or not _repeats(_words(t))
 
 
 def kind_of(text: str | None) -> str | None:
@@ -131,8 +147,7 @@ def kind_of(text: str | None) -> str | None:
             return "table" if re.search("<t[dr]\\b", t) else "list" if "<li" in t else "junk"
         return "junk"
     if len(tokens) >= 8 or chars > 80:
-        counts = Counter(lower)
-        if len(w) >= 12 and len(counts) / len(w) < 0.2 and len(counts) <= 12:
+        if _repeats(w):
             return "junk"
     noise = sum(len(x) for x in tokens if len(x) >= 6 and len({c for c in x if not c.isalnum()}) >= 4)
     if noise > 0.35 * chars:

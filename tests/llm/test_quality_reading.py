@@ -28,6 +28,24 @@ def test_kinds(text, kind):
     assert kind_of(text) == kind
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("click here for the best offers in the city today " * 20, "junk"),
+        ("; ".join(f"house of the {x} in town" if i % 2 else f"{x} {i}" for i, x in enumerate(NAMES * 2)), None),
+        (", ".join(f"{x} of the north" if i % 3 else x for i, x in enumerate(NAMES * 2)), None),
+        (" - ".join(f"{x} of the north" if i % 3 else x for i, x in enumerate(NAMES * 2)), None),
+        ("\n".join(f"- {x} and a very old house of the same quarter" for x in NAMES), None),
+        (PROSE, "prose"), (PROSE + " " + PROSE.replace(".", ";"), "prose"), (ARABIC, "prose"),
+    ],
+)
+def test_the_shortcut_changes_no_kind(text, kind, monkeypatch):
+    got = kind_of(text)
+    monkeypatch.setattr("sahifa.llm.prose._plainly_prose", lambda t: False)
+    assert got == kind_of(text)
+    assert kind is None or got == kind
+
+
 def prose(i):
     """Prose of varied length and words."""
     rnd = random.Random(i)
