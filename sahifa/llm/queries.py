@@ -57,17 +57,17 @@ def p4_budget(spark: SparkSession, d: str) -> DataFrame:
     return _tokens.budget(counted(spark, d))
 
 
-def _mix(spark: SparkSession, d: str) -> DataFrame:
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     counts = _tokens.count_tokens(table(spark, d, "documents"), table(spark, d, "tokenizer_vocab"), table(spark, d, "tokenizer_merges"), ["doc_id", "source", "category"])
-    return _mixing.mix(counts, table(spark, d, "mix_targets"))
+    return _mixing.mix(counts, table(spark, d, "mix_targets"), unique=True)
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d)
+    return _mix(spark, d)[0]
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return _mixing.reached(_mix(spark, d), table(spark, d, "mix_targets"))
+    return _mixing.reached(*_mix(spark, d))
 
 
 def values(spark: SparkSession, d: str) -> DataFrame:

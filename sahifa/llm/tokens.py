@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,9 @@ TOKENIZER_BOUND = 2_000_000
 #: Pieces whose token counts a worker keeps; the store is emptied when it is full.
 CACHE_PIECES = 500_000
 _SLICE = 512
-_loaded: dict[int, "Counter"] = {}
+#: The tokenizers of this process, by a digest of their tables. Tasks reach it through counter_of, a function of this
+#: module, which they import; a global that a closure names would be copied into each task.
+_loaded: dict[str, "Counter"] = {}
 
 
 class Counter:
@@ -62,6 +65,18 @@ class Counter:
         return total[ends] - total[ends - lengths]
 
 
+def counter_of(digest: str, tables: Callable[[], tuple]) -> Counter:
+    """The counter of this process for the tables with that digest; built when it is first asked for."""
+    if digest not in _loaded:
+        _loaded[digest] = Counter(*tables())
+    return _loaded[digest]
+
+
+def built() -> int:
+    """How many counters this process has built."""
+    return len(_loaded)
+
+
 def tokenizer_tables(vocab: DataFrame, merges: DataFrame) -> tuple[dict[str, int], list[tuple[str, str]]]:
     """vocab(token, id) and merges(merge_rank, left_token, right_token) as plain values; refused beyond TOKENIZER_BOUND."""
     v = vocab.select("token", "id").where("token is not null and id is not null").limit(TOKENIZER_BOUND + 1).collect()
@@ -75,19 +90,19 @@ def count_tokens(df: DataFrame, vocab: DataFrame, merges: DataFrame, keys: list[
     """keys, lang and tokens of each row of df.
 
     df: the key columns and text; other columns are ignored. lang is 'ar' or 'en' by the letters of the text ('none'
-    without any). A null or empty text has no tokens. The tokenizer is built once per worker.
+    without any). A null or empty text has no tokens. The tokenizer is built once per worker process, whatever the number
+    of its tasks.
     """
-    shared = df.sparkSession.sparkContext.broadcast(tokenizer_tables(vocab, merges))
+    tables = tokenizer_tables(vocab, merges)
+    digest = hashlib.sha256(repr(tables).encode()).hexdigest()
+    shared = df.sparkSession.sparkContext.broadcast(tables)
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", lang string, tokens bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me = shared.id if hasattr(shared, "id") else 0
-        counter = _loaded.get(me)
         for batch in batches:
+            counter = counter_of(digest, lambda: shared.value)
             for start in range(0, batch.num_rows, _SLICE):
-                if counter is None:
-                    counter = _loaded[me] = Counter(*shared.value)
                 b = batch.slice(start, _SLICE)
                 texts = b["text"].to_pylist()
                 langs = [script_of(t) if t else "none" for t in texts]

@@ -26,6 +26,25 @@ def test_counts_are_those_of_the_whole_encoding(spark, data):
         assert got[i] == (0 if not x else len(t.encode(x, add_special_tokens=False).ids)), x
 
 
+def test_one_tokenizer_per_process(spark, data):
+    import os
+
+    import pyarrow as pa
+
+    vocab, merges = tables(spark, data)
+    df = spark.range(400).repartition(12).select("id", F.lit("a b c").alias("text"))
+    tokens.count_tokens(df, vocab, merges, ["id"]).count()
+    tokens.count_tokens(df, vocab, merges, ["id"]).write.format("noop").mode("overwrite").save()
+    tokens.count_tokens(df, vocab, merges, ["id"]).write.format("noop").mode("overwrite").save()
+
+    def ask(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([tokens.built()])], names=["pid", "built"])
+
+    rows = spark.range(400).repartition(12).mapInArrow(ask, "pid bigint, built bigint").collect()
+    assert max(r.built for r in rows) == 1
+
+
 def test_budget_cube(spark):
     rows = [("t", "a", "ar", "x", 5), ("t", "a", "en", None, 7), ("t", None, "ar", "x", 1), ("u", "a", "ar", "x", 2)]
     df = spark.createDataFrame(rows, "src_table string, source string, lang string, category string, tokens bigint")
@@ -53,10 +72,11 @@ def test_rake_meets_all_marginals():
     w0 = rng.uniform(0.5, 2, 24)
     for a, n in zip(axes, (4, 2, 3)):
         targets.append(np.bincount(a, w0 * t, n))
-    w = mixing.rake(t, np.full(24, 100.0), axes, targets)
+    w, rested = mixing.rake(t, np.full(24, 100.0), axes, targets)
+    assert rested
     for a, g in zip(axes, targets):
         assert np.allclose(np.bincount(a, w * t, len(g)), g, rtol=1e-5)
-    capped = mixing.rake(t, np.full(24, 1.0), axes, targets)
+    capped, _ = mixing.rake(t, np.full(24, 1.0), axes, targets)
     assert (capped <= 1).all()
 
 
@@ -71,31 +91,64 @@ def counts(spark, n=4000):
 
 def test_mix_reaches_its_shares(spark):
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.4, 2), ("small", 0.05, 3), ("absent", 0.05, 2)], "source string, target_share double, max_repeats int")
-    m = mixing.mix(counts(spark), targets)
-    shares = {r.source: r for r in mixing.reached(m, targets).collect()}
-    assert shares["absent"].tokens == 0
+    m, goals = mixing.mix(counts(spark), targets)
+    rows = {(r.axis, r.value): r for r in mixing.reached(m, goals).collect()}
+    shares = {v: r for (a, v), r in rows.items() if a == "source"}
+    assert set(shares) == {"big", "mid", "small", "absent"} and {v for a, v in rows if a == "lang"} == {"ar", "en"} and {v for a, v in rows if a == "topic"} == {"x", "y", "(none)"}
+    assert shares["absent"].tokens == 0 and shares["absent"].wanted_share == 0
     assert abs(shares["big"].reached_share / shares["mid"].reached_share - 1.25) < 0.06
     assert all(r.most_used <= r.max_repeats for r in shares.values())
+    assert all(abs(r.reached_share - r.planned_share) < 0.03 for r in rows.values())
+    assert all(r.met == (abs(r.planned_share / r.wanted_share - 1) <= 0.0011 if r.wanted_share else True) for r in rows.values())
+    for axis in ("source", "lang", "topic"):
+        own = [r for (a, _), r in rows.items() if a == axis]
+        assert abs(sum(r.reached_share for r in own) - 1) < 1e-4 and abs(sum(r.wanted_share for r in own) - 1) < 1e-4
     assert m.where("source not in ('big', 'mid', 'small')").count() == 0
     assert m.count() == m.select("doc_id").distinct().count()
-    again = {(r.doc_id, r.copies) for r in mixing.mix(counts(spark).repartition(7), targets).collect()}
+    twice = counts(spark).unionByName(counts(spark)).repartition(7)
+    again = {(r.doc_id, r.copies) for r in mixing.mix(twice, targets)[0].collect()}
     assert again == {(r.doc_id, r.copies) for r in m.collect()}
+    assert again == {(r.doc_id, r.copies) for r in mixing.mix(counts(spark), targets, unique=True)[0].collect()}
+
+
+def test_a_marginal_that_caps_forbid_is_reported(spark):
+    rows = [(i, s, lang, None, 10) for i, (s, lang) in enumerate([("a", "ar")] * 10 + [("b", "en")] * 90)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, category string, tokens bigint")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    got = {(r.axis, r.value): r for r in mixing.reached(*mixing.mix(df, targets, total=100.0)).collect()}
+    assert not got["lang", "ar"].met and got["lang", "ar"].residual > 1
+    assert got["source", "a"].target_share == 0.5
+
+
+def test_cells_beyond_the_bound_raise(spark, monkeypatch):
+    """Cells of sources without a target do not count and do not hide that too many others are there."""
+    rows = [(i, "other", "ar", f"t{i}", 10) for i in range(6)] + [(10 + i, "big", "ar", f"t{i}", 10) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, category string, tokens bigint").coalesce(1)
+    targets = spark.createDataFrame([("big", 1.0, 1)], "source string, target_share double, max_repeats int")
+    monkeypatch.setattr(mixing, "CELL_BOUND", 6)
+    assert mixing.mix(df, targets)[0].count() == 6
+    monkeypatch.setattr(mixing, "CELL_BOUND", 5)
+    with pytest.raises(ValueError):
+        mixing.mix(df, targets)
+    monkeypatch.setattr(mixing, "SOURCE_BOUND", 0)
+    with pytest.raises(ValueError):
+        mixing.mix(df, targets)
 
 
 def test_marginals_are_kept(spark):
     targets = spark.createDataFrame([("big", 0.5, 9), ("mid", 0.5, 9)], "source string, target_share double, max_repeats int")
-    m = mixing.mix(counts(spark), targets)
+    m, _ = mixing.mix(counts(spark), targets)
     by = {r.lang: r.t for r in m.groupBy("lang").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t")).collect()}
     assert abs(by["ar"] / (by["ar"] + by["en"]) - 0.5) < 0.05
 
 
 def test_mix_of_nothing(spark):
     targets = spark.createDataFrame([("big", 1.0, 1), (None, 0.5, 1), ("mid", None, 1)], "source string, target_share double, max_repeats int")
-    assert mixing.mix(counts(spark).limit(0), targets).count() == 0
-    assert mixing.mix(counts(spark), targets.limit(0)).count() == 0
-    assert {r.source for r in mixing.mix(counts(spark), targets).select("source").distinct().collect()} == {"big"}
+    assert mixing.mix(counts(spark).limit(0), targets)[0].count() == 0
+    assert mixing.mix(counts(spark), targets.limit(0))[0].count() == 0
+    assert {r.source for r in mixing.mix(counts(spark), targets)[0].select("source").distinct().collect()} == {"big"}
     zero = counts(spark).withColumn("tokens", F.lit(0).cast("bigint"))
-    assert mixing.mix(zero, targets).where("copies > 1").count() == 0
+    assert mixing.mix(zero, targets)[0].where("copies > 1").count() == 0
 
 
 def test_rows_without_a_key_all_stay(spark):
