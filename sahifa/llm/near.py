@@ -1,37 +1,35 @@
 """Problem 6: records that repeat others with small edits, by T-occurrence search over inverted lists (DivideSkip).
 
-A record is the set of its k-word shingles. For a threshold t, a record x of a shingles can only match y if they have at
-least T = ceil(t / (1 + t) * (a + b)) shingles in common. The shingles of x are ordered by their frequency in the corpus;
-the L most frequent ones are its long lists, the rest its short lists. Whatever matches x occurs at least T - L times in
-the short lists. These are heap-merged, and only the records that pass are probed in the long lists by binary search.
-
-Frequencies come from a sketch of fixed size (one row of a count-min sketch over all shingles). Any total order gives
-the same result; the sketch only decides how short the short lists are. A shingle that is alone in its bucket occurs once
-in the corpus and needs no list.
+A record is the set of its k-word shingles; the inverted list of a shingle has the records that hold it. For a threshold
+t, a record x of a shingles can only match y if they have at least T = ceil(t / (1 + t) * (a + b)) shingles in common.
+Shingles are ordered by the length of their lists, so that the longest lists of x, which together weigh less than
+ceil(t * a), are its long lists and the rest its short ones. Whatever matches x occurs in its short lists at least T less
+the weight of the long ones. The short lists are merged first, and only records that pass are looked up in the long ones
+by binary search.
+
+Shingles with the same list (the same records hold them) are one item, weighted by their number: a passage that goes
+round whole costs one entry of a list instead of one for each of its words. The merge is a join of equal items that sums
+weights by pair, on the map side first: in one process a heap would do it. A list of n records is cut into blocks of at
+most LIST_BLOCK, and blocks meet in pairs, so neither a common shingle nor a third of all records in one list makes a
+large task. Lengths of lists are counted exactly; a shingle of one record only needs no list.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..runtime import broadcast_if_small, cut
-from .prose import kind_of
+from .quality import not_prose
 from .text import gram_hashes, mix64, word_hashes
 
-#: log2 of the buckets of the frequency sketch (one byte each where it is broadcast).
-SKETCH_BITS = 25
-_CHUNK_BITS = 16
-#: Records whose ids differ in their upper bits are merged in separate groups, so that a group is bounded by
-#: 2**BLOCK_BITS ids for each short list of one record, however many rows share a shingle.
-BLOCK_BITS = 16
-#: Candidate records up to this number are broadcast after they were counted.
+#: Records of a list that meet those of another block of it in one group.
+LIST_BLOCK = 2_000
+#: Records up to this number are broadcast after they were counted; beyond it they are joined by shuffle.
 CANDIDATE_ROWS = 500_000
 _SLICE = 256
 
@@ -52,185 +50,138 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, _SLICE)
 
 
-def frequency_sketch(df: DataFrame, k: int, least_words: int, bits: int) -> np.ndarray:
-    """uint8 per bucket: 0 for at most one shingle in it, else about 4 * log2 of their number. Its size is fixed."""
-    size, chunk = 1 << bits, 1 << min(bits, _CHUNK_BITS)
+def record_sets(df: DataFrame, k: int, least_words: int) -> DataFrame:
+    """(row, src, rec_id, a, sig, keys): the shingles of each row of df(src, rec_id, text), their number and a signature of the set. Texts are read once."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = None
-        for b in _slices(batches):
-            sets = [s for s in shingle_sets(b["text"].to_pylist(), k, least_words) if s is not None]
-            if sets:
-                counts = np.zeros(size, dtype=np.uint32) if counts is None else counts
-                at, n = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_counts=True)
-                counts[at] += n.astype(np.uint32)
-        if counts is None:
-            return
-        for c in range(size // chunk):
-            part = counts[c * chunk : (c + 1) * chunk]
-            big = np.flatnonzero(part > 254)
-            # one byte a bucket, with the few larger counts beside it
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c], pa.int32()), pa.array([np.minimum(part, 255).astype(np.uint8).tobytes()], pa.binary()), pa.array([big.astype(np.uint32).tobytes()], pa.binary()), pa.array([part[big].tobytes()], pa.binary())],
-                names=["chunk", "low", "at", "high"],
-            )
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for c, low, at, high in zip(*(b[x].to_pylist() for x in ("chunk", "low", "at", "high"))):
-                part = np.frombuffer(low, dtype=np.uint8).astype(np.uint64)
-                part[np.frombuffer(at, dtype=np.uint32)] = np.frombuffer(high, dtype=np.uint32)
-                sums[c] = sums[c] + part if c in sums else part
-        for c, s in sums.items():
-            level = np.where(s <= 1, 0, np.minimum(127, np.rint(4 * np.log2(np.maximum(s, 1))))).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["chunk", "level"])
-
-    parts = df.select("text").mapInArrow(partial, "chunk int, low binary, at binary, high binary")
-    rows = parts.repartition("chunk").mapInArrow(merge, "chunk int, level binary").collect()
-    sketch = np.zeros(size, dtype=np.uint8)
-    for c, level in rows:
-        sketch[c * chunk : (c + 1) * chunk] = np.frombuffer(level, dtype=np.uint8)
-    return sketch
-
-
-def keyed(shingles: np.ndarray, sketch: np.ndarray, bits: int) -> np.ndarray:
-    """Shingles as 63-bit keys in the global order: frequency level first, then 56 bits of the hash; sorted."""
-    level = sketch[(shingles >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
-    return np.sort((level << np.uint64(56)) | (shingles & np.uint64((1 << 56) - 1))).view(np.int64)
-
-
-def short_lists(a: int, t: float) -> int:
-    """How many of the a shingles of a record, in the global order, are its short lists."""
-    return a - math.ceil(t * a - 1e-9) + 1
-
-
-def least_overlap(a: int, b: int, t: float) -> int:
-    return math.ceil(t / (1 + t) * (a + b) - 1e-9)
-
-
-def heap_merge(lists: list[list[int]]) -> Iterator[tuple[int, int]]:
-    """(id, number of lists that hold it) over sorted lists, in order of id."""
-    for i, same in groupby(heapq.merge(*lists)):
-        yield i, sum(1 for _ in same)
-
-
-def near_records(df: DataFrame, k: int = 5, t: float = 0.8, least_words: int = 20, prose_only: bool = True, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
-    """Pairs between classes of equal records, and the classes.
-
-    df: src int, rec_id bigint, text string; other columns are ignored. Records of one src are compared with each other.
-    Returns pairs(src, rep_a, rep_b, overlap, similarity), rep_a < rep_b, of all classes whose shingle sets have a Jaccard
-    similarity of at least t, and members(src, rep, rec_id), one row per rec_id of a class that has a partner or several
-    members. rep is the smallest rec_id of a class. Null texts, texts under `least_words` words and, with prose_only,
-    lists, tables and junk take no part. Rows delivered twice count once.
-    """
-    base = df.select("src", "rec_id", "text").where("text is not null and rec_id is not null")
-    sketch = base.sparkSession.sparkContext.broadcast(frequency_sketch(base, k, least_words, bits))
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sketch.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             rows: list[tuple] = []
             for src, rec, s in zip(b["src"].to_pylist(), b["rec_id"].to_pylist(), shingle_sets(b["text"].to_pylist(), k, least_words)):
-                if s is None:
-                    continue
-                keys = keyed(s, table, bits)
-                short = keys[: short_lists(len(keys), t)]
-                sig = int(np.bitwise_xor.reduce(mix64(s ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64))
-                # level 0: no other record has it
-                rows.append((src, rec, len(keys), sig, int(short[-1]), short[short >= (1 << 56)]))
-            cols = list(zip(*rows)) or [()] * 6
-            types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), ty) for c, ty in zip(cols, types)], names=["src", "rec_id", "a", "sig", "last", "short"])
-
-    indexed = cut(base.mapInArrow(index, "src int, rec_id bigint, a int, sig bigint, last bigint, short array<bigint>"))
-    # one pass makes the classes and keeps the lists of their first records; copies meet on the map side
-    classes = cut(
-        indexed.groupBy("src", "sig", "a").agg(F.min("rec_id").alias("rep"), (F.max("rec_id") > F.min("rec_id")).alias("several"), F.min_by(F.struct("last", "short"), "rec_id").alias("own")).select("src", "sig", "a", "rep", "several", "own.last", "own.short")
-    )
-    lists = classes.select("src", F.col("rep").alias("rec_id"), "a", "last", F.explode("short").alias("key"))
-    # the record whose short lists end first is the query: its matches hold all their smaller keys in their own short lists
-    # both sides are one exchange: columns are named after the join
-    both = lists.alias("l").join(lists.alias("r"), (F.col("l.src") == F.col("r.src")) & (F.col("l.key") == F.col("r.key")))
-    first = (F.col("l.last") < F.col("r.last")) | ((F.col("l.last") == F.col("r.last")) & (F.col("l.rec_id") < F.col("r.rec_id")))
-    sizes = (F.col("r.a") >= F.ceil(F.lit(t) * F.col("l.a") - 1e-9)) & (F.col("l.a") >= F.ceil(F.lit(t) * F.col("r.a") - 1e-9))
-    found = both.where(first & sizes).select("l.src", F.col("l.rec_id").alias("x"), F.col("l.a").alias("xa"), "l.key", F.col("r.rec_id").alias("y"), F.col("r.a").alias("ya"), F.shiftright("r.rec_id", BLOCK_BITS).alias("block"))
-    grouped = found.repartition("src", "x", "block").sortWithinPartitions("src", "x", "block", "key", "y")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for b in batches:
-                yield from zip(*(b[c].to_pylist() for c in ("src", "x", "block", "xa", "key", "y", "ya")))
-
-        out: list[tuple] = []
-        for (src, x, _, xa), group in groupby(rows(), key=lambda r: r[:4]):
-            size: dict[int, int] = {}
-            merged: list[list[int]] = []
-            for _, same in groupby(group, key=lambda r: r[4]):
-                entries = []
-                for r in same:
-                    entries.append(r[5])
-                    size[r[5]] = r[6]
-                merged.append(entries)
-            long = xa - short_lists(xa, t)
-            for y, n in heap_merge(merged):
-                if n >= max(1, least_overlap(xa, size[y], t) - long):
-                    out.append((src, x, y, n))
-            if len(out) >= 10_000:
-                yield _candidates(out)
-                out = []
-        if out:
-            yield _candidates(out)
-
-    candidates = cut(grouped.mapInArrow(search, "src int, x bigint, y bigint, n int"))
-    # texts of all members of classes that have a candidate or several members
-    ends = candidates.select("src", F.explode(F.array("x", "y")).alias("rep")).distinct()
-    key = ["src", "rep", "sig", "a"]
-    wanted = classes.where("several").select(*key).unionByName(classes.select(*key).join(ends, ["src", "rep"], "left_semi").select(*key)).distinct()
-    wanted = cut(wanted)
-    members = indexed.select("src", "sig", "a", "rec_id").join(broadcast_if_small(wanted, CANDIDATE_ROWS), ["src", "sig", "a"]).select("src", "rep", "rec_id").distinct()
-    members = cut(members)
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sketch.value
-        for b in _slices(batches):
-            texts = b["text"].to_pylist()
-            rows = []
-            for src, rep, rec, text, s in zip(b["src"].to_pylist(), b["rep"].to_pylist(), b["rec_id"].to_pylist(), texts, shingle_sets(texts, k, least_words)):
-                if s is not None and (not prose_only or kind_of(text) == "prose"):
-                    rows.append((src, rep, rec, keyed(s, table, bits) if rep == rec else None))
-            cols = list(zip(*rows)) or [()] * 4
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), ty) for c, ty in zip(cols, types)], names=["src", "rep", "rec_id", "keys"])
-
-    texts = base.join(broadcast_if_small(members, CANDIDATE_ROWS), ["src", "rec_id"]).select("src", "rep", "rec_id", "text")
-    kept = cut(texts.mapInArrow(full, "src int, rep bigint, rec_id bigint, keys array<bigint>"))
-    sets = kept.where("keys is not null").groupBy("src", "rep").agg(F.first("keys").alias("keys"))
-    probe = candidates.join(sets.select("src", F.col("rep").alias("x"), F.col("keys").alias("x_keys")), ["src", "x"]).join(sets.select("src", F.col("rep").alias("y"), F.col("keys").alias("y_keys")), ["src", "y"])
-
-    def probe_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                if s is not None:
+                    # records of different src have no shingle in common
+                    keys = mix64(s ^ np.uint64((src * 0x9E3779B97F4A7C15 + 0x5851F42D4C957F2D) % (1 << 64)))
+                    rows.append((src, rec, len(s), int(np.bitwise_xor.reduce(mix64(keys)).view(np.int64)), keys.view(np.int64)))
+            cols = list(zip(*rows)) or [()] * 5
+            types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), ty) for c, ty in zip(cols, types)], names=["src", "rec_id", "a", "sig", "keys"])
+
+    return cut(df.mapInArrow(run, "src int, rec_id bigint, a int, sig bigint, keys array<bigint>").withColumn("row", F.monotonically_increasing_id()))
+
+
+def least_own(a: Column, t: float) -> Column:
+    """What a record of a shingles must at least have in common with any match."""
+    return F.ceil(F.lit(t) * a - 1e-9)
+
+
+def least_overlap(a: Column, b: Column, t: float) -> Column:
+    return F.ceil(F.lit(t / (1 + t)) * (a + b) - 1e-9)
+
+
+def inverted_lists(sets: DataFrame, t: float) -> DataFrame:
+    """(x, a, n, s, id, w, short, last, long): the items of each record.
+
+    sets: row, a, keys, distinct sets. (n, s) is an item, a list of n records with the sum s of their hashes, and w the
+    number of the record's shingles that have this list. short tells short lists from long ones, last is the greatest
+    short item of the record in the order of (n, s), and long the weight of its long lists. Records that can have no
+    partner have no rows.
+    """
+    postings = sets.select(F.col("row").alias("x"), "a", F.explode("keys").alias("key"))
+    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("x")).alias("s")).where("n > 1")
+    items = postings.join(lists, "key").select("x", "a", "n", "s").repartition("x").groupBy("x", "a", "n", "s").agg(F.count(F.lit(1)).cast("int").alias("w"))
+    own = Window.partitionBy("x")
+    rest = F.sum("w").over(own.orderBy(F.desc("n"), F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # an item is short while it and all greater ones weigh as much as a match must have
+    told = items.withColumn("rest", rest).withColumn("short", F.col("rest") >= least_own(F.col("a"), t))
+    last = F.max(F.when(F.col("short"), F.struct("n", "s"))).over(own)
+    long = F.coalesce(F.max(F.when(~F.col("short"), F.col("rest"))).over(own), F.lit(0))
+    return told.withColumn("last", last).withColumn("long", long).where("last is not null").select("x", "a", "n", "s", F.xxhash64("n", "s").alias("id"), "w", "short", "last", "long")
+
+
+def merged(index: DataFrame, t: float) -> DataFrame:
+    """(x, y, xa, ya, n): pairs of records and the weight that they have in common in the short lists of x, where it leaves a match possible.
+
+    Of two records the one whose short lists end first is x: what they have in common up to there is in the short lists
+    of both.
+    """
+    short = index.where("short").select("x", "a", "n", "s", "w", "last", "long")
+    blocks = F.ceil(F.col("n") / LIST_BLOCK).cast("int")
+    own, every = F.pmod(F.xxhash64("x"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    left = short.withColumn("lb", own).withColumn("rb", every)
+    right = short.withColumn("rb", own).withColumn("lb", every).select(F.col("x").alias("y"), F.col("a").alias("ya"), "n", "s", F.col("last").alias("ylast"), "lb", "rb")
+    both = left.join(right, ["n", "s", "lb", "rb"])
+    first = (F.col("last") < F.col("ylast")) | ((F.col("last") == F.col("ylast")) & (F.col("x") < F.col("y")))
+    sizes = (F.col("ya") >= least_own(F.col("a"), t)) & (F.col("a") >= least_own(F.col("ya"), t))
+    counted = both.where(first & sizes).groupBy("x", "y", F.col("a").alias("xa"), "ya", "long").agg(F.sum("w").alias("n"))
+    return counted.where(F.col("n") >= least_overlap(F.col("xa"), F.col("ya"), t) - F.col("long")).select("x", "y", "xa", "ya", "n")
+
+
+def probed(candidates: DataFrame, index: DataFrame, t: float) -> DataFrame:
+    """(x, y, overlap, similarity) of the candidates that reach the threshold, with the long lists of x looked up in y by binary search."""
+    ends = [candidates.select(F.col(c).alias("x")).distinct() for c in "xy"]
+    long = index.where("not short").join(ends[0], "x", "left_semi").groupBy("x").agg(F.collect_list(F.struct("id", "w")).alias("long"))
+    held = index.join(ends[1], "x", "left_semi").groupBy(F.col("x").alias("y")).agg(F.sort_array(F.collect_list("id")).alias("held"))
+    rows = candidates.join(long, "x", "left").join(held, "y").select("x", "y", "xa", "ya", "n", "long.id", "long.w", "held")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            rows = []
-            xk, yk = b["x_keys"], b["y_keys"]
-            for i, (src, x, y, n) in enumerate(zip(*(b[c].to_pylist() for c in ("src", "x", "y", "n")))):
-                xs, ys = xk[i].values.to_numpy(), yk[i].values.to_numpy()
-                long = xs[short_lists(len(xs), t) :]
-                at = np.minimum(np.searchsorted(ys, long), len(ys) - 1)
-                overlap = n + int((ys[at] == long).sum())
-                similarity = overlap / (len(xs) + len(ys) - overlap)
+            found: list[tuple] = []
+            ids, weights, held = b["id"], b["w"], b["held"]
+            for i, (x, y, xa, ya, n) in enumerate(zip(*(b[c].to_pylist() for c in ("x", "y", "xa", "ya", "n")))):
+                if ids[i].is_valid:
+                    look, ys = ids[i].values.to_numpy(), held[i].values.to_numpy()
+                    at = np.minimum(np.searchsorted(ys, look), len(ys) - 1)
+                    n += int(weights[i].values.to_numpy()[ys[at] == look].sum())
+                similarity = n / (xa + ya - n)
                 if similarity >= t - 1e-9:
-                    rows.append((src, min(x, y), max(x, y), overlap, round(similarity, 6)))
-            cols = list(zip(*rows)) or [()] * 5
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), ty) for c, ty in zip(cols, types)], names=["src", "rep_a", "rep_b", "overlap", "similarity"])
+                    found.append((x, y, n, round(similarity, 6)))
+            cols = list(zip(*found)) or [()] * 4
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), ty) for c, ty in zip(cols, types)], names=["x", "y", "overlap", "similarity"])
 
-    pairs = cut(probe.select("src", "x", "y", "n", "x_keys", "y_keys").mapInArrow(probe_long, "src int, rep_a bigint, rep_b bigint, overlap int, similarity double"))
-    return pairs, kept.select("src", "rep", "rec_id").distinct()
+    return rows.mapInArrow(run, "x bigint, y bigint, overlap int, similarity double")
 
 
-def _candidates(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(list(c), ty) for c, ty in zip(zip(*rows), types)], names=["src", "x", "y", "n"])
+def near_records(df: DataFrame, k: int = 5, t: float = 0.8, least_words: int = 20, prose_only: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Pairs between classes of equal records, and the classes.
+
+    df: src int, rec_id bigint, text string; other columns are ignored. Records of one src are compared with each other.
+    Returns pairs(src, rep_a, rep_b, overlap, similarity), rep_a < rep_b, of all classes whose shingle sets have a Jaccard
+    similarity of at least t, and members(src, rep, rec_id), one row per rec_id of a class that has a partner or several
+    members. rep is the smallest rec_id of a class. Rows with a null src, rec_id or text, texts under `least_words` words
+    and, with prose_only, lists, tables and junk take no part (they are judged among the records that have a partner). A
+    class keeps its links as long as one of its members is left. Rows delivered twice count once.
+    """
+    base = df.select("src", "rec_id", "text").where("src is not null and text is not null and rec_id is not null")
+    sets = record_sets(base, k, least_words)
+    small = sets.select("src", "sig", "a", "rec_id", "row")
+    # copies meet on the map side; a class is named by one of its rows
+    classes = small.groupBy("src", "sig", "a").agg(F.min("row").alias("cls"), F.count(F.lit(1)).alias("rows"))
+    repeated = cut(classes.where("rows > 1").drop("rows"))
+    copies = cut(small.join(broadcast_if_small(repeated, CANDIDATE_ROWS), ["src", "sig", "a"]).select("src", "cls", "rec_id", "row"))
+    single = sets.join(broadcast_if_small(copies.where("row <> cls").select("row"), CANDIDATE_ROWS), "row", "left_anti")
+    index = cut(inverted_lists(single, t))
+    candidates = cut(merged(index, t))
+    found = cut(probed(candidates, index, t))
+
+    linked = found.select(F.explode(F.array("x", "y")).alias("row")).distinct()
+    alone = small.join(broadcast_if_small(linked, CANDIDATE_ROWS), "row", "left_semi").select("src", F.col("row").alias("cls"), "rec_id")
+    # a class of several rows with a partner has its first row among the linked ones as well
+    several = copies.groupBy("cls").agg((F.max("rec_id") > F.min("rec_id")).alias("several"))
+    wanted = several.where("several").select("cls").unionByName(linked.withColumnRenamed("row", "cls")).distinct()
+    shared = copies.join(broadcast_if_small(wanted, CANDIDATE_ROWS), "cls", "left_semi").select("src", "cls", "rec_id")
+    members = cut(alone.unionByName(shared).distinct())
+    if prose_only:
+        texts = base.join(broadcast_if_small(members.select("src", "rec_id"), CANDIDATE_ROWS), ["src", "rec_id"])
+        other = not_prose(texts.select(F.col("src").cast("string").alias("src_table"), "rec_id", "text")).select(F.col("src_table").cast("int").alias("src"), "rec_id")
+        members = cut(members.join(other, ["src", "rec_id"], "left_anti"))
+    reps = members.groupBy("cls").agg(F.min("src").alias("src"), F.min("rec_id").alias("rep"), F.count(F.lit(1)).alias("size"))
+    reps = cut(reps)
+    a, b = (reps.select(F.col("cls").alias(c), "src", F.col("rep").alias(r)) for c, r in (("x", "rep_x"), ("y", "rep_y")))
+    named = found.join(a, "x").join(b.drop("src"), "y")
+    pairs = cut(named.select("src", F.least("rep_x", "rep_y").alias("rep_a"), F.greatest("rep_x", "rep_y").alias("rep_b"), "overlap", "similarity"))
+    ends = pairs.select("src", F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct().withColumn("linked", F.lit(True))
+    kept = reps.join(ends, ["src", "rep"], "left").where("linked or size > 1").select("cls", "rep")
+    return pairs, members.join(kept, "cls").select("src", "rep", "rec_id")
 
 
 def record_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -1,6 +1,5 @@
 import random
 
-import numpy as np
 import pytest
 
 from sahifa.llm import near
@@ -47,31 +46,77 @@ def versions(seed, groups=12, n=60):
 @pytest.mark.parametrize(("seed", "k", "t"), [(1, 3, 0.6), (2, 3, 0.6), (3, 5, 0.8), (4, 3, 0.8)])
 def test_against_brute_force(spark, seed, k, t):
     rows = versions(seed)
-    pairs, members = near.near_records(frame(spark, rows), k=k, t=t, least_words=20, prose_only=False, bits=12)
+    pairs, members = near.near_records(frame(spark, rows), k=k, t=t, least_words=20, prose_only=False)
     assert {tuple(r) for r in near.record_pairs(pairs, members).collect()} == brute(rows, k, t, 20)
 
 
-def test_order_does_not_depend_on_the_sketch(spark):
+def test_blocks_of_long_lists_change_nothing(spark, monkeypatch):
     rows = versions(7)
-    for bits in (8, 18):
-        pairs, members = near.near_records(frame(spark, rows), k=3, t=0.6, prose_only=False, bits=bits)
+    for most in (1, 2, 5):
+        monkeypatch.setattr(near, "LIST_BLOCK", most)
+        pairs, members = near.near_records(frame(spark, rows), k=3, t=0.6, prose_only=False)
         assert {tuple(r) for r in near.record_pairs(pairs, members).collect()} == brute(rows, 3, 0.6, 20)
 
 
+def pool(n, seed=3):
+    """Records of six sentences out of thirty: every shingle is common, few records are near each other."""
+    rnd = random.Random(seed)
+    sentences = [" ".join(f"v{rnd.randrange(400)}" for _ in range(14)) for _ in range(30)]
+    return [(0, i, " ".join(rnd.sample(sentences, 6))) for i in range(n)]
+
+
+def test_passages_that_go_round_whole(spark):
+    rows = pool(500)
+    pairs, members = near.near_records(frame(spark, rows), k=3, t=0.6, prose_only=False)
+    assert {tuple(r) for r in near.record_pairs(pairs, members).collect()} == brute(rows, 3, 0.6, 20)
+    sets = near.record_sets(frame(spark, pool(2000)).select("src", "rec_id", "text"), 3, 20)
+    # one entry for a sentence and one for each seam between two, not one for each shingle
+    assert near.inverted_lists(sets, 0.6).count() < 14 * 2000
+
+
+def layouts(n):
+    """Classes of records with the same words: as prose, with bars between the words, as lines; and edited versions."""
+    rnd = random.Random(11)
+    nouns = [f"{a}{b}" for a in ("mar", "tol", "bes", "kan", "rid") for b in ("ik", "ona", "er", "usa", "al", "ent")]
+    rows, i = [], 0
+    for _ in range(n):
+        words = [w for _ in range(12) for w in ("the", rnd.choice(nouns), "of", "the", rnd.choice(nouns), "was", "in")]
+        for j in range(rnd.randint(1, 3)):
+            own = list(words)
+            for _ in range(j * 3):
+                own[rnd.randrange(len(own))] = rnd.choice(nouns)
+            forms = [" ".join(own) + ".", " | ".join(own), "\n".join("- " + x for x in own), " ".join(own).upper() + "."]
+            for f in rnd.sample(range(4), rnd.randint(1, 4)):
+                rows.append((0, i, forms[f], f in (0, 3)))
+                i += 1
+    return rows
+
+
+def test_classes_of_mixed_layout(spark):
+    rows = layouts(30)
+    pairs, members = near.near_records(frame(spark, [r[:3] for r in rows]), k=3, t=0.6)
+    want = brute([r[:3] for r in rows if r[3]], 3, 0.6, 20)
+    assert {tuple(r) for r in near.record_pairs(pairs, members).collect()} == want
+    reps = {r.rec_id: r.rep for r in members.collect()}
+    assert all(rows[r][3] for r in reps.values())
+    for a, b in ((r.rep_a, r.rep_b) for r in pairs.collect()):
+        assert reps[a] == a and reps[b] == b and a < b
+
+
 def test_nulls_copies_and_nothing(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(0, 1, text), (0, 1, text), (0, 2, text.upper()), (0, 3, None), (0, 4, ""), (None, 5, text), (0, 6, "short"), (0, None, text), (1, 1, text), (0, 9, text + " end")]
-    pairs, members = near.near_records(frame(spark, rows), k=3, t=0.6, prose_only=False, bits=12)
+    pairs, members = near.near_records(frame(spark, rows), k=3, t=0.6, prose_only=False)
     assert {tuple(r) for r in near.record_pairs(pairs, members).collect()} == {(0, 1, 2), (0, 1, 9), (0, 2, 9)}
     groups = {(r.src, r.rec_id): (r.rep, r.links) for r in near.groups(pairs, members).collect()}
     assert groups == {(0, 1): (1, 1), (0, 2): (1, 1), (0, 9): (9, 1)}
-    pairs, members = near.near_records(frame(spark, []), bits=12)
+    pairs, members = near.near_records(frame(spark, []))
     assert pairs.count() == 0 and members.count() == 0
 
 
 def test_lists_take_no_part(spark):
     entries = "\n".join(f"- Name{chr(97 + i)} Place ({1900 + i})" for i in range(20))
-    pairs, members = near.near_records(frame(spark, [(0, 1, entries), (0, 2, entries)]), k=3, t=0.6, bits=12)
+    pairs, members = near.near_records(frame(spark, [(0, 1, entries), (0, 2, entries)]), k=3, t=0.6)
     assert near.record_pairs(pairs, members).count() == 0
 
 
@@ -79,21 +124,8 @@ def test_hot_copies_and_a_long_text(spark):
     copy = " ".join(f"c{i}" for i in range(30))
     long = " ".join(f"l{i % 5000}x{i // 5000}" for i in range(60_000))
     rows = [(0, i, copy) for i in range(3000)] + [(0, 9001, long), (0, 9002, long + " more")]
-    pairs, members = near.near_records(frame(spark, rows), prose_only=False, bits=14)
+    pairs, members = near.near_records(frame(spark, rows), prose_only=False)
     assert {(r.rep_a, r.rep_b) for r in pairs.collect()} == {(9001, 9002)}
     assert members.where("rep = 0").count() == 3000
 
 
-def test_heap_merge():
-    lists = [[1, 3, 5], [1, 5], [], [5]]
-    assert list(near.heap_merge(lists)) == [(1, 2), (3, 1), (5, 3)]
-
-
-def test_short_lists_hold_what_must_match():
-    rng = np.random.default_rng(0)
-    for _ in range(2000):
-        a, b = rng.integers(1, 60, 2)
-        for t in (0.6, 0.8):
-            if min(a, b) >= t * max(a, b):
-                # both short parts together leave fewer shingles than the overlap that is required
-                assert near.least_overlap(int(a), int(b), t) > max(a, b) - near.short_lists(int(max(a, b)), t)
