@@ -57,12 +57,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where it is set, else (tests on one machine) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir where it is set, else a temporary one in local mode; on a cluster it must be set."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if not known:
         there = spark.sparkContext._jsc.sc().getCheckpointDir()
         if there.isDefined():
             return there.get()
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = os.path.join(tempfile.gettempdir(), "sahifa-checkpoints")
         spark.sparkContext.setCheckpointDir(known)
     return known
@@ -77,16 +80,29 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/sahifa-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sahifa_path = path
+    return out
 
 
-def clear_scratch(spark: SparkSession) -> int:
-    """Delete what cut() wrote for this application; call it when results are written, since lazy frames still read it. Returns the number of tables."""
-    paths = _written.pop(spark.sparkContext.applicationId, [])
+def discard(df: DataFrame) -> None:
+    """Delete the table of a frame that cut() gave, when nothing that is still to run reads it."""
+    spark = df.sparkSession
+    _delete(spark, [df._sahifa_path])
+    _written[spark.sparkContext.applicationId].remove(df._sahifa_path)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what cut() wrote for this application; call it when results are written, since lazy frames still read it. Returns the number of tables."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, paths)
     return len(paths)
 
 

@@ -1,5 +1,7 @@
 import os
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from sahifa import runtime
@@ -14,6 +16,20 @@ def test_cut_and_clear(spark):
     assert runtime.clear_scratch(spark) == 0
 
 
+def test_discard(spark):
+    df = runtime.cut(spark.range(5))
+    path = df._sahifa_path.removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(path)
+    runtime.discard(df)
+    assert not os.path.exists(path)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    context = SimpleNamespace(getConf=lambda: {}, master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
+    with pytest.raises(ValueError):
+        runtime.shared_dir(SimpleNamespace(sparkContext=context, conf={}))
+
+
 def plan(df):
     return df._jdf.queryExecution().toString()
 
