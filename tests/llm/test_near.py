@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sahifa.llm import near
 from sahifa.llm.text import words
@@ -52,8 +54,9 @@ def test_against_brute_force(spark, seed, k, t):
 
 def test_blocks_of_long_lists_change_nothing(spark, monkeypatch):
     rows = versions(7)
-    for most in (1, 2, 5):
+    for most, common in ((1, 0), (2, 3), (5, 10**9)):
         monkeypatch.setattr(near, "LIST_BLOCK", most)
+        monkeypatch.setattr(near, "COMMON_LEAST", common)
         pairs, members = near.near_records(frame(spark, rows), k=3, t=0.6, prose_only=False)
         assert {tuple(r) for r in near.record_pairs(pairs, members).collect()} == brute(rows, 3, 0.6, 20)
 
@@ -70,8 +73,22 @@ def test_passages_that_go_round_whole(spark):
     pairs, members = near.near_records(frame(spark, rows), k=3, t=0.6, prose_only=False)
     assert {tuple(r) for r in near.record_pairs(pairs, members).collect()} == brute(rows, 3, 0.6, 20)
     sets = near.record_sets(frame(spark, pool(2000)).select("src", "rec_id", "text"), 3, 20)
-    # one entry for a sentence and one for each seam between two, not one for each shingle
-    assert near.inverted_lists(sets, 0.6).count() < 14 * 2000
+    _, common = near.short_index(sets, spark.sparkContext.broadcast(near.frequency_sketch(sets, 20)), 0.6)
+    assert common.count() > 100
+
+
+@pytest.mark.parametrize("bits", [8, 12, 25])
+def test_order_does_not_depend_on_the_sketch(spark, bits):
+    rows = versions(7)
+    pairs, members = near.near_records(frame(spark, rows), k=3, t=0.6, prose_only=False, bits=bits)
+    assert {tuple(r) for r in near.record_pairs(pairs, members).collect()} == brute(rows, 3, 0.6, 20)
+
+
+def test_sketch_counts(spark):
+    sets = spark.createDataFrame([(1, [1 << 60, 5 << 59]), (2, [1 << 60]), (3, [1 << 60])], "row bigint, keys array<bigint>").withColumn("a", F.size("keys"))
+    sketch, bits = near.frequency_sketch(sets, 20)
+    got = {i: int(sketch[i]) for i in np.flatnonzero(sketch)}
+    assert got == {(1 << 60) >> (64 - bits): round(4 * np.log2(3))}
 
 
 def layouts(n):
