@@ -1,9 +1,10 @@
-"""What a text is made of: prose, list, table or junk."""
+"""Statistics that tell running prose from lists, tables and junk."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from operator import eq
 
 from .text import MARKS_RE, compose
 
@@ -17,195 +18,119 @@ COMMON = {
     ),
 }
 _COMMON = COMMON["ar"] | COMMON["en"]
-_HAS_DIGIT = re.compile(r"\d").search
-_BULLET = re.compile(r"^\s*(?:[^\w\s\"'«“‘(\[<]{1,2}\s+|\[.?\]\s+|\(?\d{1,3}[.)\-]\s+|\d{1,3}\s*[-–]\s+|\(?(?:[a-zA-Z]|[ivxlcIVXLC]{1,6}|[ء-ي])[.)]\s+)")
-_ALONE = re.compile(r" [^\w\s]+(?=\s)")
+_BULLET = re.compile(r"^[^\S\n]*(?:[^\w\s\"'«“‘(\[<]{1,2}\s+|\[.?\]\s+|\(?\d{1,3}[.)\-]\s+|\d{1,3}\s*[-–]\s+|\(?(?:[a-zA-Z]|[ivxlcIVXLC]{1,6}|[ء-ي])[.)]\s+)")
+_BULLETS = re.compile(_BULLET.pattern, re.M)
 _END = re.compile(r"[.!?؟…]+[\"'»”)]*\s*$")
+_CLOSE = re.compile(r"[.!?؟]+[\"'»”)]*(?:\s+|$)")
+_PARTS = re.compile(r"[\s,;|؛،]+")
 _TERM = re.compile(r"[.!?؟؛;]+(?=\s|$)|\n+")
-_TAG = re.compile(r"<[^<>]{1,400}>")
-_MOJI = re.compile(r"[ØÙÚÃÂŘŮ][\u0080-ɏˀ-˿ -⋿§©®°±¶·¡¢£¤¥¦¨ª«¬¯²³´µ¸¹º»¼½¾¿]")
+_TAG = re.compile(r"<[^<>]+>")
+_MOJI = re.compile(r"[ØÙÚÃÂŘŮ][\u0080-ɏˀ-˿ -⋿§©®°±¶·¡¢£¤¥¦¨ª«¬¯²³´µ¸¹º»¼½¾¿]")
 _WORD = re.compile(r"[^\W\d_]{2,}")
-_SEPARATORS = ("||", "!!", "|", "\t", "•", "·", "▪", " * ", " / ", " - ", " – ", ";", "؛", ",", "،", "  ")
-_MISPLACED = re.compile("[ةى](?=[ء-ي])|ء(?=[ء-ي])(?<!^ء)|[ىة]{2}")
-_NUM = re.compile(r"^[-–—+]?[\d٠-٩۰-۹.,٫٬]+\s*%?$|^[-–—]$")
 _RUN = re.compile(r"[^\W_]+")
-_VOWELS = frozenset("aeiouyéèêôîûàâëïüöäá")
-
-
-def _words(s: str) -> list[str]:
-    return _WORD.findall(s)
-
-
-def _clause(s: str, common: frozenset) -> bool:
-    """Can be read as a sentence: enough words, and some that only hold sentences together."""
-    w = _words(s)
-    if len(w) < 3:
-        return False
-    n = sum(x.lower() in common for x in w)
-    return n >= 1 and n / len(w) >= 0.08 or len(w) >= 9
-
-
-def _cells(lines: list[str]) -> tuple[str, float, list[str]]:
-    """The separator that cuts the text into the most short cells, and those cells."""
-    best = ("", 0.0, [])
-    # a mark that stands alone again and again sets cells apart, whichever it is
-    alone = Counter(x for line in lines for x in line.split() if not any(c.isalnum() for c in x))
-    other = [f" {x} " for x, n in alone.most_common(2) if n >= 6]
-    for sep in (*_SEPARATORS, *other):
-        cut = [[c.strip() for c in (re.split(r"\s{2,}", x.strip()) if sep == "  " else x.split(sep))] for x in lines]
-        n = sum(len(c) - 1 for c in cut)
-        if n > best[1]:
-            best = (sep, n, [x for c in cut for x in c if x])
-    return best
-
-
-def measures(text: str) -> dict:
-    """Statistics of one text that is neither null nor blank."""
-    t = MARKS_RE.sub("", compose(text))
-    tokens = t.split()
-    lines = [x for x in t.split("\n") if x.strip()]
-    w = _words(t)
-    letters = sum(map(len, w))
-    chars = max(1, sum(map(len, tokens)))
-    lower = [x.lower() for x in w]
-    counts = Counter(lower)
-    common = sum(map(_COMMON.__contains__, lower))
-    ended = sum(bool(_END.search(x)) for x in lines)
-    return {
-        "word_count": len(tokens),
-        "mean_word_length": round(chars / max(1, len(tokens)), 2),
-        "symbol_ratio": round(1 - letters / chars, 3),
-        "ended_line_share": round(ended / max(1, len(lines)), 3),
-        "common_word_share": round(common / max(1, len(w)), 3),
-        "distinct_word_share": round(len(counts) / max(1, len(w)), 3),
-        "sentence_length": round(len(tokens) / max(1, len([x for x in _TERM.split(t) if x.strip()])), 1),
-        "digit_token_share": round(sum(map(bool, map(_HAS_DIGIT, tokens))) / max(1, len(tokens)), 3),
-    }
-
-
-def _junk_words(w: list[str]) -> float:
-    """Share of Latin words that nobody can pronounce."""
-    latin = [x.lower() for x in w if x.isascii() or x[0].lower() in _VOWELS]
-    if len(latin) < 5:
-        return 0.0
-    bad = 0
-    for x in latin:
-        v = sum(c in _VOWELS for c in x)
-        run = max((len(r) for r in re.split("[aeiouyéèêôîûàâëïüöäá]+", x)), default=0)
-        bad += (len(x) > 3 and v / len(x) < 0.2) or run >= 5 or len(x) > 18
-    return bad / len(latin)
-
-
-def _repeats(w: list[str]) -> bool:
-    counts = set(map(str.lower, w))
-    return len(w) >= 12 and len(counts) / len(w) < 0.2 and len(counts) <= 12
-
-
-def _plainly_prose(t: str) -> bool:
-    """Enough function words in long lines, no repetition, and nothing that sets cells or entries apart: no need to look closer."""
-    n = t.count(" ") + t.count("\n") + 1
-    held = max(sum(map(t.count, (" في ", " من ", " على ", " عام ", " مع "))), sum(map(t.count, (" the ", " of ", " in "))))
-    if held < 3 or held < 0.06 * n or n < 8 * (t.count("\n") + 1) or len(t) > 14 * n:
-        return False
-    if any(x in t for x in ("|", "\t", "•", "·", "<", "~", "^", " / ", " * ", "   ")):
-        return False
-    # fewer separators than _layout asks for make no cells
-    most = max(6, 0.12 * len(t.split()))
-    if any(t.count(x) >= most for x in _SEPARATORS) or len(_ALONE.findall(t)) >= 6:
-        return False
-    # nor do fewer than three marked lines make a list
-    if t.count("\n") >= 3 and sum(map(bool, map(_BULLET.match, t.split("\n")))) >= 3:
-        return False
-    # more than 13 words in a part of the text (the last may be cut) are more than 12 in the whole
-    return len(set(map(str.lower, _words(t[:200])))) > 13 or not _repeats(_words(t))
-
-
-def kind_of(text: str | None) -> str | None:
-    """'list', 'table' or 'junk' for a text that is mostly not prose, 'prose' otherwise; None for null or blank.
-
-    Single words and short sentences are prose; so is prose with headings, foreign names or a short list.
+_DIGIT = re.compile(r"\d").search
+_ALONE = re.compile(r"(?<!\S)[^\w\s]+(?!\S)")
+_FIGURE = re.compile(r"^[-–—+]?[\d.,٫٬]*\d\s*%?$")
+_MARKS_IN = re.compile(r"[^\w\s]")
+_MISPLACED = re.compile("[ةى](?=[ء-ي])|ء(?=[ء-ي])(?<!^ء)|[ىة]{2}")
+_LATIN_WORD = re.compile("[A-Za-zÀ-ɏ]{2,}")
+_CONSONANTS = re.compile("[^aeiouyéèêôîûàâëïüöäáAEIOUYÉÈÊÔÎÛÀÂËÏÜÖÄÁ]{5,}")
+_VOWEL = re.compile("[aeiouyéèêôîûàâëïüöäáAEIOUYÉÈÊÔÎÛÀÂËÏÜÖÄÁ]")
+#: What sets entries or cells apart, besides lines and any mark that stands alone again and again.
+_SEPARATORS = ("||", "!!", "|", "\t", "•", "·", "▪", " * ", " / ", " - ", " – ", ";", "؛", ",", "،", "  ")
+#: So often, and for so many words once, a separator must occur to set cells apart.
+LEAST_CUTS, WORDS_A_CUT = 6, 9
+#: Most words of an entry or cell, and of an entry that is marked.
+ENTRY_WORDS, MARKED_WORDS = 5, 9
+#: Words of a run that is repeated again and again.
+ECHO_WORDS = 10
+#: Words of a sentence.
+SENTENCE_WORDS = (6, 60)
+#: A text under so many tokens and characters is a word or a short sentence: nothing to tell apart.
+SHORT_TOKENS, SHORT_CHARS = 6, 60
+
+STATISTICS = [
+    "word_count", "mean_word_length", "symbol_ratio", "ended_line_share", "common_word_share", "distinct_word_share", "sentence_length", "digit_token_share",
+    "entry_share", "figure_cell_share", "bar_share", "noise_share", "unreadable_share", "echo_share", "letter_run_length", "single_letter_share", "closed_share", "short",
+]
+
+
+def _cells(t: str, lines: list[str], tokens: int) -> list[list[str]]:
+    """The ways to cut a text into cells: by lines, by each separator that occurs often enough, and by tags."""
+    ways = [lines] if len(lines) >= 4 else []
+    least = max(LEAST_CUTS, tokens / WORDS_A_CUT)
+    alone = Counter(_ALONE.findall(t))
+    for sep in (*_SEPARATORS, *(f" {x} " for x, n in alone.most_common(2) if n >= LEAST_CUTS)):
+        if t.count(sep) >= least:
+            cut = re.split(r"\s{2,}", t) if sep == "  " else re.split(re.escape(sep) + "|\n", t)
+            ways.append([c for x in cut if (c := x.strip())])
+    if t.count("<") >= LEAST_CUTS and len(tags := _TAG.split(t)) > LEAST_CUTS:
+        ways.append([c for x in tags if (c := x.strip())])
+    return ways
+
+
+def _entries(cells: list[str], tokens: int) -> tuple[float, float]:
+    """Share of the words that are in entries, and share of the cells that are figures.
+
+    An entry is a cell of few words that does not end like a sentence and has no word that only holds sentences together.
     """
-    if text is None or not text.strip():
-        return None
+    held = figures = real = 0
+    for c in cells:
+        m = _BULLET.match(c)
+        body = c[m.end() :] if m else c
+        n = body.count(" ") + 1
+        if n <= 2 and _FIGURE.match(body):
+            figures += 1
+            real += 1
+            continue
+        real += any(map(str.isalnum, c))
+        if n <= (MARKED_WORDS if m else ENTRY_WORDS) and not _END.search(body) and (w := _WORD.findall(body.lower())) and not _COMMON.intersection(w):
+            held += n + (c[: m.end()].count(" ") if m else 0)
+    return min(1.0, held / max(1, tokens)), figures / real if real >= LEAST_CUTS else 0.0
+
+
+def measures(text: str) -> dict[str, float]:
+    """Statistics of one text that is neither null nor blank, to four digits; short is 1 for a word or a short sentence."""
     t = MARKS_RE.sub("", compose(text)).strip()
-    if _plainly_prose(t):
-        return "prose"
     tokens = t.split()
-    w = _words(t)
-    if len(tokens) < 6 and len(t) < 60:
-        return "prose"
-    chars = sum(map(len, tokens))
+    n = len(tokens)
+    lines = [x for x in map(str.strip, t.split("\n")) if x]
+    w = _WORD.findall(t.lower())
+    words = max(1, len(w))
     letters = sum(map(len, w))
-    lower = [x.lower() for x in w]
-    # junk: wrong decoding, markup without content, symbols, repetition, unreadable letters
-    if len(_MOJI.findall(t)) * 2 > 0.2 * chars:
-        return "junk"
-    tagged = sum(map(len, _TAG.findall(t)))
-    if tagged > 0.5 * len(t):
-        held = len(_words(_TAG.sub(" ", t)))
-        if held >= 10 and held * 4 > 0.05 * len(t):
-            return "table" if re.search("<t[dr]\\b", t) else "list" if "<li" in t else "junk"
-        return "junk"
-    if len(tokens) >= 8 or chars > 80:
-        if _repeats(w):
-            return "junk"
-    noise = sum(len(x) for x in tokens if len(x) >= 6 and len({c for c in x if not c.isalnum()}) >= 4)
-    if noise > 0.35 * chars:
-        return "junk"
-    longest = max(map(len, tokens))
-    if longest > 40 and sum(len(x) for x in tokens if len(x) > 30) > 0.4 * chars:
-        return "junk"
-    common = sum(map(_COMMON.__contains__, lower))
-    share = common / max(1, len(w))
-    if share < 0.1 and _junk_words(w) > (0.12 if share < 0.03 and len(w) >= 10 else 0.3):
-        return "junk"
-    if len(w) >= 6 and share < 0.1 and len(_MISPLACED.findall(t)) > 0.15 * len(w):
-        return "junk"
-    runs = _RUN.findall(t)
-    # words that fell apart
-    if len(tokens) >= 10 and sum(map(len, runs)) < 2.7 * len(runs) and sum(x.isdigit() for x in runs) < 0.3 * len(runs):
-        return "junk"
-    return _layout(t, tokens, w, share)
-
-
-def _layout(t: str, tokens: list[str], w: list[str], share: float) -> str:
-    lines = [x.strip() for x in t.split("\n") if x.strip()]
-    sep, n, cells = _cells(lines)
-    prose = entries = numbers = 0
-    lang = "ar" if sum(c >= "؀" for c in t) * 2 > sum(c.isalpha() for c in t) else "en"
-    common = COMMON[lang]
-    # rows and columns
-    if n >= 6 and cells:
-        size = sorted(len(c.split()) for c in cells)
-        middle = size[len(size) // 2]
-        figures = sum(bool(_NUM.match(c)) for c in cells) / len(cells)
-        if middle <= 3 and figures >= 0.25 and n >= 0.25 * len(tokens):
-            return "table"
-        if sep in ("||", "!!", "|", "\t") and middle <= 4 and n >= 0.2 * len(tokens):
-            return "table"
-    # entries one after another, by line
-    marked = [bool(_BULLET.match(x)) for x in lines]
-    for x, m in zip(lines, marked):
-        body = _BULLET.sub("", x) if m else x
-        k = len(body.split())
-        if m and k <= 9 and not _END.search(body) and not _clause(body, common):
-            entries += k
-        elif k <= 5 and not _END.search(body) and not any(y.lower() in common for y in _words(body)) and len(lines) >= 5:
-            entries += k * 0.75
-        else:
-            prose += k
-    if len(lines) >= 4 and sum(marked) >= 3 and entries > prose:
-        return "list"
-    rows = lines[1:] if lines[0].endswith(":") else lines
-    sizes = sorted(len(x.split()) for x in rows)
-    if len(rows) >= 5 and sizes[len(sizes) // 2] <= 4 and sizes[int(len(sizes) * 0.9)] <= 6 and sum(bool(_END.search(x)) for x in rows) < 0.2 * len(rows):
-        held = [y for x in rows for y in _words(x)]
-        if sum(y.lower() in common for y in held) < 0.04 * max(1, len(held)):
-            return "list"
-    if n >= 6 and cells and len(lines) <= 3 + n / 6:
-        size = sorted(len(c.split()) for c in cells)
-        middle, top = size[len(size) // 2], size[int(len(size) * 0.9)]
-        clauses = sum(len(c.split()) for c in cells if _clause(c, common)) / max(1, sum(size))
-        if middle <= 4 and top <= 6 and clauses < 0.4 and n >= 0.12 * len(tokens):
-            return "list"
-    return "prose"
+    chars = max(1, sum(map(len, tokens)))
+    counts = Counter(w)
+    ways = [_entries(c, n) for c in _cells(t, lines, n)]
+    bodies = _BULLETS.sub("", t)
+    runs = _RUN.findall(bodies)
+    spelled = [x for x in runs if not x.isdigit()]
+    latin = _LATIN_WORD.findall(t)
+    # Latin words that nobody can pronounce, Arabic letters where they cannot stand
+    odd = sum(len(x) > 18 or bool(_CONSONANTS.search(x)) or (len(x) > 3 and len(_VOWEL.findall(x)) < 0.16 * len(x)) for x in latin) + len(_MISPLACED.findall(t))
+    wrong = 2 * len(_MOJI.findall(t)) + sum(map(len, _TAG.findall(t)))
+    # strings of many marks, and strings that no word is as long as
+    wrong += sum(len(x) for x in _PARTS.split(t) if len(x) > 30 or (len(x) >= 4 and not x.isalnum() and len(set(_MARKS_IN.findall(x))) >= 3))
+    # what stands after the last final mark is no closed sentence
+    sentences = [(k, x) for x in _CLOSE.split(bodies)[:-1] if SENTENCE_WORDS[0] <= (k := x.count(" ") + x.count("\n") + 1) <= SENTENCE_WORDS[1]]
+    closed = sum(k for k, x in sentences if len(_COMMON.intersection(x.lower().split())) >= 2)
+    found = {
+        "word_count": n,
+        "mean_word_length": chars / max(1, n),
+        "symbol_ratio": 1 - letters / chars,
+        "ended_line_share": sum(bool(_END.search(x)) for x in lines) / max(1, len(lines)),
+        "common_word_share": sum(map(_COMMON.__contains__, w)) / words,
+        "distinct_word_share": len(counts) / words,
+        "sentence_length": n / max(1, sum(bool(x.strip()) for x in _TERM.split(t))),
+        "digit_token_share": sum(1 for x in tokens if not x.isalpha() and _DIGIT(x)) / max(1, n),
+        "entry_share": min(max((e for e, _ in ways), default=0.0), 1 - min(1.0, sum(k for k, _ in sentences) / max(1, n))),
+        "figure_cell_share": max((f for _, f in ways), default=0.0),
+        "bar_share": min(1.0, (t.count("|") + t.count("\t") + t.count("!!")) / max(1, n)),
+        "noise_share": min(1.0, wrong / chars),
+        "unreadable_share": min(1.0, odd / words),
+        "echo_share": max((sum(map(eq, w, w[p:])) / (len(w) - p) for p in range(1, ECHO_WORDS + 1) if len(w) >= 2 * p + 2), default=0.0),
+        "letter_run_length": sum(map(len, spelled)) / len(spelled) if spelled else 0.0,
+        "single_letter_share": sum(len(x) == 1 for x in spelled) / max(1, len(spelled)),
+        "closed_share": min(1.0, closed / max(1, n)),
+        "short": n < SHORT_TOKENS and len(t) < SHORT_CHARS,
+    }
+    return {k: round(float(v), 4) for k, v in found.items()}

@@ -12,7 +12,9 @@ from statistics import median
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .prose import kind_of
+from ..runtime import cut
+from .prose import STATISTICS
+from .quality import MEASURED, measured, score
 from .text import MARKS_RE, compose, script_of
 
 #: Levels are fitted on at most this many labelled samples.
@@ -137,7 +139,9 @@ def fit_levels(samples: DataFrame) -> dict[str, list[float]]:
     A cut lies halfway between the medians of the grades of neighbouring levels.
     """
     got: dict[str, dict[int, list[float]]] = {}
-    rows = samples.select("text", "reading_level").where("text is not null and reading_level is not null").limit(SAMPLE_BOUND).collect()
+    rows = samples.select("text", "reading_level").where("text is not null and reading_level is not null").limit(SAMPLE_BOUND + 1).collect()
+    if len(rows) > SAMPLE_BOUND:
+        raise ValueError(f"more than {SAMPLE_BOUND} samples")
     for text, level in rows:
         if e := estimate(text):
             got.setdefault(e[0], {}).setdefault(level, []).append(e[1])
@@ -163,21 +167,20 @@ def reading_levels(docs: DataFrame, samples: DataFrame) -> DataFrame:
     any samples there are no rows.
     """
     cuts = fit_levels(samples)
+    names = ["doc_id", "read_lang", "grade", "reading_level", "lang", *STATISTICS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, langs, grades, levels = [], [], [], []
-            for i, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                if not cuts or kind_of(text) != "prose" or (e := estimate(text)) is None:
-                    continue
-                at = cuts.get(e[0]) or next(iter(cuts.values()))
-                ids.append(i)
-                langs.append(e[0])
-                grades.append(round(e[1], 3))
-                levels.append(1 + sum(e[1] > c for c in at))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(grades, pa.float64()), pa.array(levels, pa.int32())], names=["doc_id", "lang", "grade", "reading_level"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang string, grade double, reading_level int")
+            texts = b["text"].to_pylist()
+            found = [estimate(t) if cuts else None for t in texts]
+            levels = [e and 1 + sum(e[1] > c for c in cuts.get(e[0]) or next(iter(cuts.values()))) for e in found]
+            own = [pa.array([e and e[0] for e in found], pa.string()), pa.array([e and round(e[1], 3) for e in found], pa.float64()), pa.array(levels, pa.int32())]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *own, *measured(texts)], names=names)
+
+    rated = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, f"doc_id bigint, read_lang string, grade double, reading_level int, {MEASURED}")
+    rated = cut(rated.where("lang is not null").withColumn("row", F.monotonically_increasing_id()))
+    prose = score(rated.select("row", "lang", *STATISTICS), ["row"]).where("kind = 'prose'").select("row")
+    return rated.where("reading_level is not null").join(prose, "row").select("doc_id", F.col("read_lang").alias("lang"), "grade", "reading_level")
 
 
 def level_profile(levels: DataFrame, docs: DataFrame) -> DataFrame:
