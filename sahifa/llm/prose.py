@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 from operator import eq
 
 from .text import MARKS_RE, compose
@@ -23,19 +24,17 @@ _BULLETS = re.compile(_BULLET.pattern, re.M)
 _END = re.compile(r"[.!?؟…]+[\"'»”)]*\s*$")
 _CLOSE = re.compile(r"[.!?؟]+[\"'»”)]*(?:\s+|$)")
 _PARTS = re.compile(r"[\s,;|؛،]+")
-_TERM = re.compile(r"[.!?؟؛;]+(?=\s|$)|\n+")
 _TAG = re.compile(r"<[^<>]+>")
 _MOJI = re.compile(r"[ØÙÚÃÂŘŮ][\u0080-ɏˀ-˿ -⋿§©®°±¶·¡¢£¤¥¦¨ª«¬¯²³´µ¸¹º»¼½¾¿]")
 _WORD = re.compile(r"[^\W\d_]{2,}")
-_RUN = re.compile(r"[^\W_]+")
+_LETTERS = re.compile(r"[^\W\d_]++(?!\d)")
 _DIGIT = re.compile(r"\d").search
-_ALONE = re.compile(r"(?<!\S)[^\w\s]+(?!\S)")
 _FIGURE = re.compile(r"^[-–—+]?[\d.,٫٬]*\d\s*%?$")
 _MARKS_IN = re.compile(r"[^\w\s]")
 _MISPLACED = re.compile("[ةى](?=[ء-ي])|ء(?=[ء-ي])(?<!^ء)|[ىة]{2}")
-_LATIN_WORD = re.compile("[A-Za-zÀ-ɏ]{2,}")
-_CONSONANTS = re.compile("[^aeiouyéèêôîûàâëïüöäáAEIOUYÉÈÊÔÎÛÀÂËÏÜÖÄÁ]{5,}")
-_VOWEL = re.compile("[aeiouyéèêôîûàâëïüöäáAEIOUYÉÈÊÔÎÛÀÂËÏÜÖÄÁ]")
+_CONSONANTS = re.compile("[^aeiouyéèêôîûàâëïüöäá]{5,}")
+_VOWEL = re.compile("[aeiouyéèêôîûàâëïüöäá]")
+_EDGES = ".,،;:؛!?؟…()[]«»\"'"
 #: What sets entries or cells apart, besides lines and any mark that stands alone again and again.
 _SEPARATORS = ("||", "!!", "|", "\t", "•", "·", "▪", " * ", " / ", " - ", " – ", ";", "؛", ",", "،", "  ")
 #: So often, and for so many words once, a separator must occur to set cells apart.
@@ -55,11 +54,10 @@ STATISTICS = [
 ]
 
 
-def _cells(t: str, lines: list[str], tokens: int) -> list[list[str]]:
-    """The ways to cut a text into cells: by lines, by each separator that occurs often enough, and by tags."""
+def _cells(t: str, lines: list[str], tokens: int, alone: Counter) -> list[list[str]]:
+    """The ways to cut a text into cells: by lines, by each separator that occurs often enough (alone: marks that stand alone), and by tags."""
     ways = [lines] if len(lines) >= 4 else []
     least = max(LEAST_CUTS, tokens / WORDS_A_CUT)
-    alone = Counter(_ALONE.findall(t))
     for sep in (*_SEPARATORS, *(f" {x} " for x, n in alone.most_common(2) if n >= LEAST_CUTS)):
         if t.count(sep) >= least:
             cut = re.split(r"\s{2,}", t) if sep == "  " else re.split(re.escape(sep) + "|\n", t)
@@ -89,30 +87,41 @@ def _entries(cells: list[str], tokens: int) -> tuple[float, float]:
     return min(1.0, held / max(1, tokens)), figures / real if real >= LEAST_CUTS else 0.0
 
 
+@lru_cache(maxsize=200_000)
+def _odd(word: str) -> bool:
+    return len(word) > 18 or bool(_CONSONANTS.search(word)) or (len(word) > 3 and len(_VOWEL.findall(word)) < 0.16 * len(word))
+
+
 def measures(text: str) -> dict[str, float]:
     """Statistics of one text that is neither null nor blank, to four digits; short is 1 for a word or a short sentence."""
     t = MARKS_RE.sub("", compose(text)).strip()
     tokens = t.split()
     n = len(tokens)
     lines = [x for x in map(str.strip, t.split("\n")) if x]
-    w = _WORD.findall(t.lower())
+    bodies = _BULLETS.sub("", t).lower()
+    runs = _LETTERS.findall(bodies)
+    w = [x for x in runs if len(x) > 1]
     words = max(1, len(w))
     letters = sum(map(len, w))
     chars = max(1, sum(map(len, tokens)))
     counts = Counter(w)
-    ways = [_entries(c, n) for c in _cells(t, lines, n)]
-    bodies = _BULLETS.sub("", t)
-    runs = _RUN.findall(bodies)
-    spelled = [x for x in runs if not x.isdigit()]
-    latin = _LATIN_WORD.findall(t)
+    other = [x for x in tokens if not x.isalpha()]
+    alone = Counter(x for x in other if not any(map(str.isalnum, x)))
+    ways = [_entries(c, n) for c in _cells(t, lines, n, alone)]
     # Latin words that nobody can pronounce, Arabic letters where they cannot stand
-    odd = sum(len(x) > 18 or bool(_CONSONANTS.search(x)) or (len(x) > 3 and len(_VOWEL.findall(x)) < 0.16 * len(x)) for x in latin) + len(_MISPLACED.findall(t))
+    odd = sum(m for x, m in counts.items() if x[0] < "ɐ" and _odd(x)) + (0 if t.isascii() else len(_MISPLACED.findall(t)))
+    # an echo of half the words leaves few different ones
+    echo = 0.0
+    if len(counts) <= 0.5 * len(w) + ECHO_WORDS:
+        echo = max((sum(map(eq, w, w[p:])) / (len(w) - p) for p in range(1, ECHO_WORDS + 1) if len(w) >= 2 * p + 2), default=0.0)
     wrong = 2 * len(_MOJI.findall(t)) + sum(map(len, _TAG.findall(t)))
     # strings of many marks, and strings that no word is as long as
-    wrong += sum(len(x) for x in _PARTS.split(t) if len(x) > 30 or (len(x) >= 4 and not x.isalnum() and len(set(_MARKS_IN.findall(x))) >= 3))
+    wrong += sum(len(x) for x in tokens if len(x) > 30 and x.isalpha())
+    wrong += sum(len(x) for y in other if not y.strip(_EDGES).isalnum() or len(y) > 30 for x in _PARTS.split(y) if len(x) > 30 or (len(x) >= 4 and len(set(_MARKS_IN.findall(x))) >= 3))
     # what stands after the last final mark is no closed sentence
-    sentences = [(k, x) for x in _CLOSE.split(bodies)[:-1] if SENTENCE_WORDS[0] <= (k := x.count(" ") + x.count("\n") + 1) <= SENTENCE_WORDS[1]]
-    closed = sum(k for k, x in sentences if len(_COMMON.intersection(x.lower().split())) >= 2)
+    pieces = _CLOSE.split(bodies)
+    sentences = [(k, x) for x in pieces[:-1] if SENTENCE_WORDS[0] <= (k := x.count(" ") + x.count("\n") + 1) <= SENTENCE_WORDS[1]]
+    closed = sum(k for k, x in sentences if len(_COMMON.intersection(x.split())) >= 2)
     found = {
         "word_count": n,
         "mean_word_length": chars / max(1, n),
@@ -120,16 +129,16 @@ def measures(text: str) -> dict[str, float]:
         "ended_line_share": sum(bool(_END.search(x)) for x in lines) / max(1, len(lines)),
         "common_word_share": sum(map(_COMMON.__contains__, w)) / words,
         "distinct_word_share": len(counts) / words,
-        "sentence_length": n / max(1, sum(bool(x.strip()) for x in _TERM.split(t))),
-        "digit_token_share": sum(1 for x in tokens if not x.isalpha() and _DIGIT(x)) / max(1, n),
+        "sentence_length": n / max(1, len(pieces) - (not pieces[-1].strip())),
+        "digit_token_share": sum(map(bool, map(_DIGIT, other))) / max(1, n),
         "entry_share": min(max((e for e, _ in ways), default=0.0), 1 - min(1.0, sum(k for k, _ in sentences) / max(1, n))),
         "figure_cell_share": max((f for _, f in ways), default=0.0),
         "bar_share": min(1.0, (t.count("|") + t.count("\t") + t.count("!!")) / max(1, n)),
         "noise_share": min(1.0, wrong / chars),
         "unreadable_share": min(1.0, odd / words),
-        "echo_share": max((sum(map(eq, w, w[p:])) / (len(w) - p) for p in range(1, ECHO_WORDS + 1) if len(w) >= 2 * p + 2), default=0.0),
-        "letter_run_length": sum(map(len, spelled)) / len(spelled) if spelled else 0.0,
-        "single_letter_share": sum(len(x) == 1 for x in spelled) / max(1, len(spelled)),
+        "echo_share": echo,
+        "letter_run_length": sum(map(len, runs)) / max(1, len(runs)),
+        "single_letter_share": (len(runs) - len(w)) / max(1, len(runs)),
         "closed_share": min(1.0, closed / max(1, n)),
         "short": n < SHORT_TOKENS and len(t) < SHORT_CHARS,
     }

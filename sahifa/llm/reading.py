@@ -98,15 +98,20 @@ def _filled(lines: list[str]) -> list[bool]:
     return full
 
 
+@lru_cache(maxsize=200_000)
+def _word(word: str, lang: str) -> tuple[int, int, bool, bool]:
+    n = syllables(word, lang)
+    return len(word), n, n >= (3 if lang == "en" else 4), len(word) > 6
+
+
 def counts(sentence: str, lang: str) -> tuple[int, float, float, float, float] | None:
     """Words of a sentence and, per word, its letters, syllables, hard and long words; None without words."""
-    found = _WORD.findall(sentence.lower())
+    found = _WORD.findall(sentence)
     if not found:
         return None
     n = len(found)
-    syllable = [syllables(x, lang) for x in found]
-    least = 3 if lang == "en" else 4
-    return n, sum(map(len, found)) / n, sum(syllable) / n, sum(c >= least for c in syllable) / n, sum(len(x) > 6 for x in found) / n
+    letters, syllable, hard, long = map(sum, zip(*[_word(x, lang) for x in found]))
+    return n, letters / n, syllable / n, hard / n, long / n
 
 
 def estimate(text: str | None) -> tuple[str, float] | None:
@@ -119,7 +124,7 @@ def estimate(text: str | None) -> tuple[str, float] | None:
         return None
     t = MARKS_RE.sub("", compose(text))
     lang = "en" if script_of(t) != "ar" else "ar"
-    rows = [c for s in sentences(t) if (c := counts(s, lang))]
+    rows = [c for s in sentences(t) if (c := counts(s.lower(), lang))]
     if not rows:
         return None
     n, letters, syllable, hard, long = (median(c) for c in zip(*rows))
