@@ -13,19 +13,25 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..runtime import cut
 from .language import FEATURE_BITS, Languages, features
 from .text import MARKS_RE, WORD_RE, compose, plain, script_of
 
 #: log2 of the hashed tables of the end-of-text model: words and word pairs, all and those that end a sentence.
 END_BITS = 18
+#: Distinct words that a task holds before it sends their counts on.
+WORDS_HELD = 500_000
 #: Below this likelihood of an end after its last words a text without a final mark is broken off.
 END_LIKELIHOOD = 0.03
 #: Weight of a place in the article against the corpus behind it.
 ARTICLE_WEIGHT = 100.0
-#: Share of the question's words, in order, that a copy of it keeps; words a copy may add; words of another language.
+#: Weight of the last word against the pair of the last two.
+PAIR_BACKOFF = 2.0
+#: Share of all words of a script from which a word is counted for its language (at most 1 / FREQUENT words are).
 FREQUENT = 0.0005
 #: Up to this share of all words a word is taken for a name.
 RARE = 0.00005
+#: Share of the question's words, in order, that a copy of it keeps; words a copy may add; words of another language.
 COPY_SHARE, COPY_EXTRA, FOREIGN_WORDS = 0.7, 4, 4
 QUESTION_ODDS = 10.0
 #: Log odds from which the answer is taken to be in the other language.
@@ -34,7 +40,9 @@ FOREIGN_ODDS = 10.0
 _SPLIT = re.compile(r"(?<=[.!?؟؛;…])[\"'»”)]*\s+|\n+")
 _MARK = re.compile(r"[.!?؟]+[\"'»”’)\]]*$")
 _OPEN = re.compile(r"(?:\.\.\.?|…|[،,؛;:\-–—])[\"'»”’)\]]*$")
-_PARENS = re.compile(r"[(\[«][^()\[\]«»]{0,80}[)\]»]")
+_PARENS = re.compile(r"[(\[«][^()\[\]«»]*[)\]»]")
+#: What others are quoted with says nothing of the answer itself.
+_QUOTED = re.compile(r"\"[^\"\n]*\"|“[^“”\n]*”|«[^«»\n]*»")
 _NUMBERED = re.compile(r"[^\W_]*\d[^\W_]*")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -96,32 +104,39 @@ def _tokens(t: str) -> list[str]:
 def corpus_model(df: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Counts over all kept rows: the end-of-text tables (4, 2**END_BITS), and language features of the frequent words.
 
-    Names say nothing of a language, so only words that make up FREQUENT of the words of a script in a batch are counted
-    for it. The tables have fixed sizes; partial counts are summed per partition and then per table.
+    Names say nothing of a language, so only words that make up FREQUENT of all words of a script are counted for it.
+    Words are counted over the whole corpus before any is left out, so batches and files change nothing. The end tables
+    have a fixed size; partial counts are summed per partition and then per table.
     """
-    size, langs = 1 << END_BITS, ("ar", "en")
+    size = 1 << END_BITS
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.zeros((4, size), dtype=np.int64)
-        seen = {x: np.zeros(1 << FEATURE_BITS, dtype=np.int64) for x in langs}
+        seen: Counter = Counter()
+
+        def out(names: list, words: list, counts: list, tables: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.string()), pa.array(counts, pa.int64()), pa.array(tables, pa.binary())], names=["name", "word", "n", "counts"])
+
+        def words_of() -> pa.RecordBatch:
+            return out(["ar" if w[0] >= "\u0600" else "en" for w in seen], list(seen), list(seen.values()), [None] * len(seen))
+
         for b in batches:
             flat: list[str] = []
             lengths: list[int] = []
-            by_script: dict[str, Counter] = {x: Counter() for x in langs}
             for article, qa in zip(b["article"].to_pylist(), b["qa_pairs"].to_pylist()):
                 for s in _SPLIT.split(plain(article)) if article else ():
                     if _MARK.search(s) and len(w := _tokens(s)) >= 3:
                         flat += w
                         lengths.append(len(w))
                 for q in qa or ():
-                    if q and q["question"] and (script := script_of(q["question"])) in by_script:
-                        by_script[script].update(_LETTERS.findall(q["question"].lower()))
+                    if q and q["question"] and script_of(q["question"]) != "none":
+                        seen.update(_LETTERS.findall(q["question"].lower()))
             if flat:
                 words = np.empty(len(flat), dtype=object)
                 words[:] = flat
                 codes, unique = pd.factorize(words)
                 for w, n in zip(unique, np.bincount(codes).tolist()):
-                    by_script["ar" if w[0] >= "\u0600" else "en"][w] += n
+                    seen[w] += n
                 at = np.fromiter((_bucket(w) for w in unique), dtype=np.int64, count=len(unique))[codes]
                 last = np.cumsum(lengths) - 1
                 pairs = _pair_bucket(at[:-1], at[1:])
@@ -129,14 +144,12 @@ def corpus_model(df: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
                 inside[last[:-1]] = False
                 for i, x in enumerate((at, pairs[inside], at[last], pairs[last - 1])):
                     ends[i] += np.bincount(x, minlength=size)
-            for script, found in by_script.items():
-                least = max(5, FREQUENT * found.total())
-                for w, n in found.items():
-                    if n >= least:
-                        np.add.at(seen[script], features(w), n)
-        names = [*(f"e{i}" for i in range(4)), *langs]
-        tables = [*ends, *(seen[x] for x in langs)]
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([t.tobytes() for t in tables], pa.binary())], names=["name", "counts"])
+            if len(seen) > WORDS_HELD:
+                yield words_of()
+                seen.clear()
+        if seen:
+            yield words_of()
+        yield out([f"e{i}" for i in range(4)], [None] * 4, [None] * 4, [t.tobytes() for t in ends])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -147,10 +160,19 @@ def corpus_model(df: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([t.tobytes() for t in sums.values()], pa.binary())], names=["name", "counts"])
 
-    rows = df.select("article", "qa_pairs").mapInArrow(partial, "name string, counts binary").repartition("name").mapInArrow(merge, "name string, counts binary").collect()
+    both = cut(df.select("article", "qa_pairs").mapInArrow(partial, "name string, word string, n bigint, counts binary"))
+    rows = both.where("counts is not null").select("name", "counts").repartition("name").mapInArrow(merge, "name string, counts binary").collect()
     got = {r[0]: np.frombuffer(r[1], dtype=np.int64) for r in rows}
     ends = np.array([got.get(f"e{i}", np.zeros(size, dtype=np.int64)) for i in range(4)])
-    return ends, {x: got[x] for x in langs if x in got}
+    words = both.where("counts is null").groupBy("name", "word").agg(F.sum("n").alias("n"))
+    totals = {r["name"]: r["t"] for r in both.where("counts is null").groupBy("name").agg(F.sum("n").alias("t")).collect()}  # two rows
+    least = F.lit(None)
+    for name, t in totals.items():
+        least = F.when(F.col("name") == name, F.lit(max(5, FREQUENT * t))).otherwise(least)
+    features_of = {x: np.zeros(1 << FEATURE_BITS, dtype=np.int64) for x in totals}
+    for r in words.where(F.col("n") >= least).collect():  # at most 1 / FREQUENT words for each script
+        np.add.at(features_of[r["name"]], features(r["word"]), r["n"])
+    return ends, features_of
 
 
 class Judge:
@@ -216,9 +238,9 @@ class Judge:
             return 0.0
         b1 = _bucket(w[-1])
         p = (self.ends[2, b1] + 0.5) / (self.ends[0, b1] + 2.0)
-        if len(w) > 1 and not (self.ends[0, b1] >= 50 and p < 0.01):  # else a word that never ends a sentence, whatever stands before it
+        if len(w) > 1:  # the pair, backed off to the last word
             b2 = _pair_bucket(_bucket(w[-2]), b1)
-            p = (self.ends[3, b2] + 2.0 * p) / (self.ends[1, b2] + 2.0)
+            p = (self.ends[3, b2] + PAIR_BACKOFF * p) / (self.ends[1, b2] + PAIR_BACKOFF)
         # the article as the closest context: where its words run as these do
         for k in (5, 4, 3):
             if len(words) < k:
@@ -268,7 +290,9 @@ def _unclosed(a: str) -> bool:
 
 
 def _refuses(a: str) -> bool:
-    return bool(_REFUSALS.search(a.replace("’", "'")))
+    said = _QUOTED.sub(" ", a)
+    # an answer that is a quotation as a whole is judged by what it says
+    return bool(_REFUSALS.search((said if WORD_RE.search(said) else a).replace("’", "'")))
 
 
 def _copies(asked: list[str], words: list[str], a: str) -> bool:

@@ -43,6 +43,24 @@ def test_records_that_do_not_count(spark):
     assert pairs.defective_pairs(frame(spark, [])).count() == 0
 
 
+def test_model_does_not_depend_on_batches(spark, data):
+    """The language model and its verdicts are the same whatever the batches."""
+    rows = spark.read.parquet(f"{data}/output_dataset.parquet").where("not skip")
+    known = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = []
+    for size in ("10000", "16"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        ends, counts = pairs.corpus_model(rows)
+        got.append((ends.tolist(), {k: v.tolist() for k, v in counts.items()}))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", known)
+    assert got[0] == got[1] and sum(got[0][1]["ar"]) > 0
+
+
+def test_quoted_words_are_no_refusal():
+    assert not pairs._refuses('according to his son, his last words were "i cannot leave cairo".')
+    assert pairs._refuses('"i cannot answer that."') and pairs._refuses("i cannot answer that.")
+
+
 def test_language_posteriors():
     model = Languages()
     held = {"fr": "Elle est née dans la ville et y a travaillé avec son père pendant dix ans.", "fa": "او در این شهر به دنیا آمد و چند سال با پدرش کار کرد.", "en": "She was born in the town and worked there with her father for ten years.", "ar": "ولدت في المدينة وعملت فيها مع أبيها عشر سنوات.", "de": "Sie wurde in der Stadt geboren und arbeitete dort zehn Jahre mit ihrem Vater.", "es": "Ella nació en la ciudad y trabajó allí con su padre durante diez años."}
