@@ -28,7 +28,7 @@ def project(vec: Column, weights: Column, bias: Column | None = None) -> Column:
 def embed(tokens: DataFrame, table: DataFrame, positions: DataFrame | None = None, max_length: int | None = None) -> DataFrame:
     """(seq_id, pos, vec) of tokens(seq_id, pos, token_id): rows of table(token_id, vec), plus those of positions(pos, vec).
 
-    A token without a row raises, as does a position beyond max_length.
+    A token or a position without a row raises, as does a position beyond max_length.
     """
     found = tokens.join(table.select("token_id", F.col("vec").alias("__t")), "token_id", "left")
     if max_length is not None:
@@ -37,7 +37,8 @@ def embed(tokens: DataFrame, table: DataFrame, positions: DataFrame | None = Non
     found = found.withColumn("vec", vec)
     if positions is None:
         return found.select("seq_id", "pos", "vec")
-    return found.join(positions.select("pos", F.col("vec").alias("__p")), "pos").select("seq_id", "pos", add(F.col("vec"), F.col("__p")).alias("vec"))
+    placed = F.coalesce(F.col("__p"), F.raise_error(F.concat(F.lit("no embedding for position "), F.col("pos").cast("string"))).cast("array<double>"))
+    return found.join(positions.select("pos", F.col("vec").alias("__p")), "pos", "left").select("seq_id", "pos", add(F.col("vec"), placed).alias("vec"))
 
 
 def initial_embeddings(spark: SparkSession, tokens: int, width: int, std: float = 0.02, seed: int = 0, pad: int | None = 0) -> DataFrame:

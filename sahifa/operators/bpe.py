@@ -129,11 +129,14 @@ def merge_piece(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[s
 def encode(df: DataFrame, key: str, vocab: DataFrame, merges: DataFrame, text: str = "text") -> DataFrame:
     """(key, tokens, ids) of each text; a character without a token is the unknown token. A null text gives nulls.
 
-    Merges are applied to each distinct piece of a batch once; the tables go to the workers by broadcast, bounded by PIECE_BOUND rows.
+    Merges are applied to each distinct piece of a batch once; the tables go to the workers by broadcast and are refused beyond PIECE_BOUND rows.
     """
     kind = df.schema[key].dataType.simpleString()
-    v = {r["token"]: r["id"] for r in vocab.limit(PIECE_BOUND).collect()}
-    m = {(r["left_token"], r["right_token"]): r["merge_rank"] for r in merges.limit(PIECE_BOUND).collect()}
+    tables = [t.limit(PIECE_BOUND + 1).collect() for t in (vocab.select("token", "id"), merges.select("left_token", "right_token", "merge_rank"))]
+    if max(map(len, tables)) > PIECE_BOUND:
+        raise ValueError(f"more than {PIECE_BOUND} tokens or merges")
+    v = {r["token"]: r["id"] for r in tables[0]}
+    m = {(r["left_token"], r["right_token"]): r["merge_rank"] for r in tables[1]}
     shared = df.sparkSession.sparkContext.broadcast((v, m))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +183,8 @@ def token_ids(df: DataFrame, key: str, vocab: DataFrame, tokens: str = "tokens")
 
 
 def length_histogram(tokens: DataFrame, token: str = "token") -> DataFrame:
-    return tokens.groupBy(F.length(token).alias("length")).agg(F.count(F.lit(1)).alias("tokens"))
+    """(length, tokens) in order of length."""
+    return tokens.groupBy(F.length(token).alias("length")).agg(F.count(F.lit(1)).alias("tokens")).orderBy("length")
 
 
 def read_tokenizer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

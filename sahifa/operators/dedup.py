@@ -34,10 +34,15 @@ def new_first(df: DataFrame, done: DataFrame, key: Column, order: str) -> DataFr
 
 
 def seeded_sample(df: DataFrame, key: str, order: str, n: int, seed: int) -> DataFrame:
-    """The first n rows by `order`, in an order that a seed fixes: `position` is the rank of the md5 of key and seed."""
+    """The first n rows by `order`, in an order that a seed fixes: that of shuffle_key, the md5 of key and seed."""
     taken = df.orderBy(order).limit(n)
-    spark_order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
-    return taken.select(*df.columns, spark_order.alias("shuffle_key"))
+    return taken.select(*df.columns, F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))).alias("shuffle_key")).orderBy("shuffle_key", key)
+
+
+def not_written(df: DataFrame, name: Column, written: DataFrame, force: bool = False) -> DataFrame:
+    """df with filename: rows whose file (written: filename) is not there yet, or all with force."""
+    named = df.withColumn("filename", name)
+    return named if force else not_yet(named, written, ["filename"])
 
 
 def batches(df: DataFrame, order: list[str], size: int) -> DataFrame:

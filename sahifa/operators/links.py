@@ -56,43 +56,60 @@ class _Scanner(HTMLParser):
             self.link[2] += data
 
 
-def page_links(df: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, heading, section, pos, href, label): one row per link of each page, in the order of the page.
+def page_links(df: DataFrame, key: str, html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *keep, heading, section, pos, href, label): one row per link of each page, in the order of the page.
 
-    section is subcategories, pages, group or empty. A page without links has one row with a null href; a null page none.
+    section is subcategories, pages, group or empty; keep names columns that are handed through. A page without links
+    has one row with a null href; a null page none.
     """
-    kind = df.schema[key].dataType.simpleString()
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    held = [key, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for k, text in zip(b[key].to_pylist(), b[html].to_pylist()):
+            for *own, text in zip(*(b[c].to_pylist() for c in held), b[html].to_pylist()):
                 if text is None:
                     continue
                 s = _Scanner()
                 s.feed(text)
                 s.close()
                 found = s.links or [(None, None, None)]
-                rows += [(k, s.heading, section, i, href, label) for i, (section, href, label) in enumerate(found)]
-            cols = list(zip(*rows)) or [()] * 6
-            types = (b.schema.field(key).type, pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=[key, "heading", "section", "pos", "href", "label"])
+                rows += [(*own, s.heading, section, i, href, label) for i, (section, href, label) in enumerate(found)]
+            types = (*(b.schema.field(c).type for c in held), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+            cols = list(zip(*rows)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=[*held, "heading", "section", "pos", "href", "label"])
 
-    return df.select(key, html).mapInArrow(run, f"`{key}` {kind}, heading string, section string, pos int, href string, label string")
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in held)
+    return df.select(*held, html).mapInArrow(run, f"{schema}, heading string, section string, pos int, href string, label string")
 
 
 def category_links(df: DataFrame, key: str, url: str, html: str = "html") -> DataFrame:
     """(key, category, kind, pos, url, label) of the pages that are category pages.
 
-    kind is subcategory, article or paging by section and address; other links give no row. category is the page's
-    heading without the namespace. Pages are filtered by address before they are parsed.
+    kind is subcategory, article or paging by section and address; a link that is an article and leads to another page
+    of the list as well has a row for each, other links give none. category is the page's heading without the
+    namespace. Pages are filtered by address before they are parsed.
     """
-    pages = df.where(urls.is_category_page(F.col(url)))
-    links = page_links(pages.select(key, html), key, html).where("href is not null").join(pages.select(key, F.col(url).alias("__base")), key)
-    kind = (
-        F.when((F.col("section") == "subcategories") & urls.is_subcategory_link(F.col("href")), "subcategory")
-        .when((F.col("section") == "pages") & urls.is_article_link(F.col("href")), "article")
-        .when((F.col("section") == "pages") & urls.is_paging_link(F.col("href")), "paging")
-    )
+    pages = df.where(urls.is_category_page(F.col(url))).select(key, F.col(url).alias("__base"), html)
+    links = page_links(pages, key, html, ("__base",)).where("href is not null")
+    h, section = F.col("href"), F.col("section")
+    kinds = F.array_compact(F.array(
+        F.when((section == "subcategories") & urls.is_subcategory_link(h), "subcategory"),
+        F.when((section == "pages") & urls.is_article_link(h), "article"),
+        F.when((section == "pages") & urls.is_paging_link(h), "paging"),
+    ))
     category = trim(F.replace(F.col("heading"), F.lit("تصنيف:"), F.lit("")))
-    return links.select(key, category.alias("category"), kind.alias("kind"), "pos", urls.resolve(F.col("__base"), F.col("href")).alias("url"), trim(F.col("label")).alias("label")).where("kind is not null")
+    return links.select(key, category.alias("category"), F.explode(kinds).alias("kind"), "pos", urls.resolve(F.col("__base"), h).alias("url"), trim(F.col("label")).alias("label"))
+
+
+def group_links(df: DataFrame, key: str, url: str, category: str, html: str = "html") -> DataFrame:
+    """(key, kind, pos, name, url, category) of the links in the groups of English category pages.
+
+    kind is category (category is null) or figure, which carries the category of its page; other links give no row.
+    """
+    pages = df.select(key, F.col(url).alias("__base"), F.col(category).alias("__category"), html)
+    links = page_links(pages, key, html, ("__base", "__category")).where("href is not null and section = 'group'")
+    kind = F.when(urls.is_category_link(F.col("href")), "category").when(urls.is_figure_link(F.col("href")), "figure")
+    rows = links.withColumn("kind", kind).where("kind is not null")
+    return rows.select(key, "kind", "pos", trim(F.col("label")).alias("name"), urls.resolve(F.col("__base"), F.col("href")).alias("url"), F.when(F.col("kind") == "figure", F.col("__category")).alias("category"))

@@ -167,6 +167,16 @@ def reason_counts(records: DataFrame, reasons: list[str] = SKIP_REASONS) -> Data
     return known.join(counted, "skip_reason", "full").select("skip_reason", F.coalesce("n", F.lit(0)).alias("records"))
 
 
+def occurring(counts: DataFrame) -> DataFrame:
+    """The reasons that occur."""
+    return counts.where("records > 0")
+
+
+def going_on(flagged: DataFrame) -> DataFrame:
+    """The items that were flagged as related."""
+    return flagged.where("flag")
+
+
 def name_flags(items: DataFrame, name: str, related: DataFrame, unrelated: DataFrame) -> DataFrame:
     """items with flag: true if its name is in related, else false if it is in unrelated, else null (not decided)."""
     yes = related.select(F.col(name)).distinct().withColumn("__yes", F.lit(True))

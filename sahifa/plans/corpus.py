@@ -16,7 +16,7 @@ VOCAB, LEAST = 32_000, 5
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "train_phase_1").where("text is not null").groupBy("rec_id").agg(F.first("title").alias("title"), F.first("text").alias("text"))
+    return table(spark, d, "train_phase_1").where("text is not null").groupBy("rec_id").agg(F.min(F.struct("title", "text")).alias("m")).select("rec_id", "m.title", "m.text")
 
 
 def q21_normalize_text(spark: SparkSession, d: str) -> DataFrame:

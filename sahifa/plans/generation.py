@@ -137,12 +137,40 @@ SQL_Q17 = f"""WITH c AS (SELECT coalesce(skip_reason, 'unknown') AS skip_reason,
  SELECT coalesce(c.skip_reason, k.skip_reason) AS skip_reason, coalesce(n, 0) AS records FROM (VALUES {_REASONS}) k(skip_reason) FULL JOIN c ON c.skip_reason = k.skip_reason"""
 
 
+def q17_occurring_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return responses.occurring(q17_skip_reasons(spark, d))
+
+
+SQL_Q17_OCCURRING = "SELECT coalesce(skip_reason, 'unknown') AS skip_reason, count(DISTINCT rec_id) AS records FROM output_dataset WHERE skip AND rec_id IS NOT NULL GROUP BY 1"
+
+
+def q13_related_categories(spark: SparkSession, d: str) -> DataFrame:
+    """The categories that go on after they were flagged."""
+    return responses.going_on(q13_name_flags(spark, d)).select("name", "link")
+
+
+SQL_Q13_RELATED = f"SELECT name, link FROM ({SQL_Q13_FLAGS}) WHERE flag"
+
+
+def q18_missing_files(spark: SparkSession, d: str) -> DataFrame:
+    """Articles whose file is not written: the files of every third one are there."""
+    from ..functions import urls
+
+    r = table(spark, d, "article_records").where("title is not null").select("ord", "title")
+    written = r.where("ord % 3 = 0").select(urls.file_name(F.col("title")).alias("filename"))
+    return dedup.not_written(r, urls.file_name(F.col("title")), written).select("ord", "filename")
+
+
+_FILE = """substring(regexp_replace(title, '[<>:"/\\\\|?*]', '_', 'g'), 1, 100) || '.md'"""
+SQL_Q18_FILES = f"SELECT ord, {_FILE} AS filename FROM article_records WHERE title IS NOT NULL AND {_FILE} NOT IN (SELECT {_FILE} FROM article_records WHERE title IS NOT NULL AND ord % 3 = 0)"
+
+
 def q18_resume_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    """Figures whose name no kept record has."""
-    return dedup.not_yet(_figures(spark, d).select("figure_id", F.coalesce("name", F.lit("")).alias("name")), _records(spark, d).where("not skip").select(F.coalesce("name", F.lit("")).alias("name")), ["name"])
+    """Figures whose name no written record has; skipped ones are done as well."""
+    return dedup.not_yet(_figures(spark, d).select("figure_id", F.coalesce("name", F.lit("")).alias("name")), _records(spark, d).select(F.coalesce("name", F.lit("")).alias("name")), ["name"])
 
 
-SQL_Q18 = "SELECT DISTINCT figure_id, coalesce(name, '') AS name FROM egyptian_figures_data WHERE coalesce(name, '') NOT IN (SELECT coalesce(name, '') FROM output_dataset WHERE NOT skip)"
+SQL_Q18 = "SELECT DISTINCT figure_id, coalesce(name, '') AS name FROM egyptian_figures_data WHERE coalesce(name, '') NOT IN (SELECT coalesce(name, '') FROM output_dataset)"
 
 
 def q18_new_articles(spark: SparkSession, d: str) -> DataFrame:
@@ -175,5 +203,5 @@ def q20_token_usage(spark: SparkSession, d: str) -> DataFrame:
 
 SQL_Q20 = f"""SELECT sum(q)::BIGINT AS prompt_tokens, sum(a)::BIGINT AS completion_tokens, (sum(q) + sum(a))::BIGINT AS total_tokens FROM (SELECT {_WORDS.format("coalesce(p.question, '')")} AS q, {_WORDS.format("coalesce(p.answer, '')")} AS a FROM (SELECT unnest(qa_pairs) AS p FROM (SELECT DISTINCT ON (rec_id) rec_id, qa_pairs FROM output_dataset)))"""
 
-QUERIES = {f.__name__: f for f in (q13_classify_batches, q13_batch_flags, q13_name_flags, q13_flag_counts, q14_seed_prompt, q15_response_validate, q16_output_record, q17_skip_reasons, q18_resume_anti_join, q18_new_articles, q19_seeded_sample, q20_token_usage)}
-SQL = {"q13_classify_batches": SQL_Q13, "q13_batch_flags": SQL_Q13_BATCH, "q13_name_flags": SQL_Q13_FLAGS, "q13_flag_counts": SQL_Q13_COUNTS, "q14_seed_prompt": SQL_Q14, "q15_response_validate": SQL_Q15, "q16_output_record": SQL_Q16, "q17_skip_reasons": SQL_Q17, "q18_resume_anti_join": SQL_Q18, "q18_new_articles": _new_articles_sql(), "q19_seeded_sample": SQL_Q19, "q20_token_usage": SQL_Q20}
+QUERIES = {f.__name__: f for f in (q13_classify_batches, q13_batch_flags, q13_name_flags, q13_flag_counts, q13_related_categories, q14_seed_prompt, q15_response_validate, q16_output_record, q17_skip_reasons, q17_occurring_reasons, q18_resume_anti_join, q18_missing_files, q18_new_articles, q19_seeded_sample, q20_token_usage)}
+SQL = {"q13_classify_batches": SQL_Q13, "q13_batch_flags": SQL_Q13_BATCH, "q13_name_flags": SQL_Q13_FLAGS, "q13_flag_counts": SQL_Q13_COUNTS, "q14_seed_prompt": SQL_Q14, "q15_response_validate": SQL_Q15, "q16_output_record": SQL_Q16, "q17_skip_reasons": SQL_Q17, "q17_occurring_reasons": SQL_Q17_OCCURRING, "q13_related_categories": SQL_Q13_RELATED, "q18_missing_files": SQL_Q18_FILES, "q18_resume_anti_join": SQL_Q18, "q18_new_articles": _new_articles_sql(), "q19_seeded_sample": SQL_Q19, "q20_token_usage": SQL_Q20}

@@ -95,11 +95,54 @@ def _any(c: str, marks: list[str]) -> str:
     return "(" + " OR ".join(f"contains({c}, '{m}')" for m in marks) + ")"
 
 
-SQL_Q04_FILTERS = f"""SELECT href, starts_with(href, '/wiki/') AND {_any('href', urls.CATEGORY_MARKS)} AS is_subcategory, starts_with(href, '/wiki/') AND NOT {_any('href', urls.NAMESPACE_MARKS)} AS is_article,
- {_any('href', urls.PAGING_MARKS)} AS is_paging, starts_with(href, '/wiki/') AND NOT contains(href, '/wiki/Category') AS is_figure, {_any('href', urls.CATEGORY_MARKS)} AS is_category_page
+_SUB = ["تصنيف:", "%D8%AA%D8%B5%D9%86%D9%8A%D9%81:"]
+_OTHERS = [*_SUB, "Special:", "خاص:", "User:", "مستخدم:", "File:", "ملف:", "صورة:", "Template:", "قالب:", "Talk:", "نقاش:", "Wikipedia:", "ويكيبيديا:", "Help:", "مساعدة:", "Portal:", "بوابة:"]
+SQL_Q04_FILTERS = f"""SELECT href, starts_with(href, '/wiki/') AND {_any('href', _SUB)} AS is_subcategory, starts_with(href, '/wiki/') AND NOT {_any('href', _OTHERS)} AS is_article,
+ {_any('href', ['pagefrom=', 'pageuntil=', 'pageupto='])} AS is_paging, starts_with(href, '/wiki/') AND NOT contains(href, '/wiki/Category') AS is_figure, {_any('href', [*_SUB, 'Category:'])} AS is_category_page
  FROM (SELECT regexp_replace(url, '^[a-zA-Z]+://[^/]*', '') AS href FROM article_records WHERE url IS NOT NULL UNION ALL SELECT * FROM (VALUES {_sql_values(LITERAL_HREFS)}) t(href))"""
 
 
+def q04_group_links(spark: SparkSession, d: str) -> DataFrame:
+    """Categories and figures in the groups of English category pages, one page for each record."""
+    r = table(spark, d, "article_records").where("parent_categories is not null")
+    parts = F.array_join(F.transform("parent_categories", lambda c: F.concat(F.lit('<li><a href="/wiki/Category:'), c, F.lit('"> '), c, F.lit("</a>"))), "")
+    own = F.concat(F.lit('<a href="../wiki/./f'), F.col("ord").cast("string"), F.lit('">x</a><a href="/wiki/f'), F.col("ord").cast("string"), F.lit('?pagefrom=a"> F </a>'))
+    html = F.concat(F.lit('<a href="/wiki/out">o</a><div class="x mw-category-group"><ul>'), parts, own, F.lit("</ul></div>"))
+    pages = r.select("ord", F.lit("https://h/wiki/Category:c").alias("page"), F.concat(F.lit("c"), F.col("ord").cast("string")).alias("of"), html.alias("html"))
+    return links.group_links(pages, "ord", "page", "of")
+
+
+SQL_Q04_GROUPS = """WITH r AS (SELECT ord, parent_categories FROM article_records WHERE parent_categories IS NOT NULL)
+ SELECT ord, 'category' AS kind, i::INTEGER AS pos, trim(parent_categories[i]) AS name, 'https://h/wiki/Category:' || parent_categories[i] AS url, NULL AS category FROM (SELECT ord, parent_categories, unnest(range(1, len(parent_categories) + 1)) AS i FROM r)
+ UNION ALL SELECT ord, 'figure', (len(parent_categories) + 2)::INTEGER, 'F', 'https://h/wiki/f' || ord || '?pagefrom=a', 'c' || ord FROM r"""
+
+
+def q05_whole_walk(spark: SparkSession, d: str) -> DataFrame:
+    """All categories that can be reached from one, and how far they are."""
+    r = table(spark, d, "article_records")
+    edges = r.select(F.explode("parent_categories").alias("parent"), trim(F.col("category")).alias("child"), "ord").where("parent is not null and child <> ''").groupBy("parent", "child").agg(F.min("ord").alias("ord"))
+    root = edges.where("parent < child").groupBy().agg(F.min("parent").alias("node"))
+    return graph.walk(cut_edges(edges), root).select("node", "depth")
+
+
+SQL_Q05_WHOLE = """WITH RECURSIVE e AS (SELECT DISTINCT parent, trim(category) AS child FROM (SELECT unnest(parent_categories) AS parent, category FROM article_records) WHERE parent IS NOT NULL AND trim(category) <> ''),
+ d AS (SELECT min(parent) AS node, 0 AS depth FROM e WHERE parent < child UNION SELECT e.child, d.depth + 1 FROM d JOIN e ON e.parent = d.node WHERE d.depth < 60)
+ SELECT node, min(depth)::INTEGER AS depth FROM d GROUP BY 1"""
+
+
+def q09_fetched_wikitext(spark: SparkSession, d: str) -> DataFrame:
+    """Wikitext of articles out of a snapshot of API responses; missing pages and empty contents drop out."""
+    from ..sources import pages as snapshots
+
+    t = table(spark, d, "train_phase_1").where("url is not null").groupBy("url").agg(F.min("rec_id").alias("rec_id"), F.min("text").alias("text"))
+    page = F.to_json(F.struct(F.struct(F.create_map(F.when(F.col("rec_id") % 5 == 0, "-1").otherwise("7"), F.struct(F.array(F.struct(F.struct(F.struct(F.col("text").alias("*")).alias("main")).alias("slots"))).alias("revisions"))).alias("pages")).alias("query")))
+    found = snapshots.fetched(table(spark, d, "article_records").select("ord", "url"), t.select("url", page.alias("response")), "url", "response")
+    return found.select("ord", snapshots.wikitext_of(F.col("response")).alias("wikitext")).where("wikitext is not null and wikitext <> ''")
+
+
+SQL_Q09_FETCHED = """SELECT ord, text AS wikitext FROM article_records JOIN (SELECT url, min(rec_id) AS rec_id, min(text) AS text FROM train_phase_1 WHERE url IS NOT NULL GROUP BY 1) USING (url) WHERE rec_id % 5 <> 0 AND text <> ''"""
+
+
 def q05_category_walk(spark: SparkSession, d: str) -> DataFrame:
     """Categories within three steps of one: an edge leads from each parent of a record to its category."""
     r = table(spark, d, "article_records")
@@ -236,5 +279,5 @@ SQL_Q00 = f"""SELECT source, count(*) AS documents, sum(len(n))::BIGINT AS chara
  FROM (SELECT lower({_SOURCE}) AS source, len(text) AS b, {normal_text_sql('text')} AS n FROM documents WHERE text IS NOT NULL) WHERE len(n) >= 50 GROUP BY 1"""
 
 
-QUERIES = {f.__name__: f for f in (q00_corpus_slice, q01_url_normalize, q02_url_dedupe_first, q02_duplicate_counts, q03_html_links, q04_category_links, q04_link_filters, q05_category_walk, q06_title_from_url, q07_display_title, q08_safe_filename, q09_wikitext_markdown, q10_article_document, q11_summary, q12_infobox)}
-SQL = {"q00_corpus_slice": SQL_Q00, "q01_url_normalize": SQL_Q01, "q02_url_dedupe_first": SQL_Q02, "q02_duplicate_counts": SQL_Q02_COUNTS, "q03_html_links": SQL_Q03, "q04_category_links": SQL_Q04, "q04_link_filters": SQL_Q04_FILTERS, "q05_category_walk": SQL_Q05, "q06_title_from_url": SQL_Q06, "q07_display_title": SQL_Q07, "q08_safe_filename": SQL_Q08, "q09_wikitext_markdown": SQL_Q09, "q10_article_document": SQL_Q10, "q11_summary": SQL_Q11, "q12_infobox": SQL_Q12}
+QUERIES = {f.__name__: f for f in (q00_corpus_slice, q01_url_normalize, q02_url_dedupe_first, q02_duplicate_counts, q03_html_links, q04_category_links, q04_link_filters, q04_group_links, q05_category_walk, q05_whole_walk, q09_fetched_wikitext, q06_title_from_url, q07_display_title, q08_safe_filename, q09_wikitext_markdown, q10_article_document, q11_summary, q12_infobox)}
+SQL = {"q00_corpus_slice": SQL_Q00, "q01_url_normalize": SQL_Q01, "q02_url_dedupe_first": SQL_Q02, "q02_duplicate_counts": SQL_Q02_COUNTS, "q03_html_links": SQL_Q03, "q04_category_links": SQL_Q04, "q04_link_filters": SQL_Q04_FILTERS, "q04_group_links": SQL_Q04_GROUPS, "q05_whole_walk": SQL_Q05_WHOLE, "q09_fetched_wikitext": SQL_Q09_FETCHED, "q05_category_walk": SQL_Q05, "q06_title_from_url": SQL_Q06, "q07_display_title": SQL_Q07, "q08_safe_filename": SQL_Q08, "q09_wikitext_markdown": SQL_Q09, "q10_article_document": SQL_Q10, "q11_summary": SQL_Q11, "q12_infobox": SQL_Q12}

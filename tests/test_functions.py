@@ -53,13 +53,13 @@ def test_titles_and_names(spark):
 
 
 def test_links(spark):
-    hrefs = ["/wiki/تصنيف:س", "/wiki/س", "/wiki/File:x", "/w/i?pagefrom=a", "/wiki/%D8%AA%D8%B5%D9%86%D9%8A%D9%81:s", None]
-    assert column(spark, hrefs, urls.is_subcategory_link) == [True, False, False, False, True, None]
-    assert column(spark, hrefs, urls.is_article_link) == [False, True, False, False, False, None]
-    assert column(spark, hrefs, urls.is_paging_link) == [False, False, False, True, False, None]
+    hrefs = ["/wiki/تصنيف:س", "/wiki/س", "/wiki/File:x", "/w/i?pagefrom=a", "/wiki/%D8%AA%D8%B5%D9%86%D9%8A%D9%81:s", None, "/wiki/Category:A"]
+    assert column(spark, hrefs, urls.is_subcategory_link) == [True, False, False, False, True, None, False]
+    assert column(spark, hrefs, urls.is_article_link) == [False, True, False, False, False, None, True]
+    assert column(spark, hrefs, urls.is_paging_link) == [False, False, False, True, False, None, False]
 
 
 def test_resolve(spark):
-    hrefs = ["/wiki/x", "x", "x/y?z", "?q=1", "#f", "", "//o/p", "https://o/q", "mailto:a@b"]
+    hrefs = ["/wiki/x", "x", "x/y?z", "?q=1", "#f", "", "//o/p", "https://o/q", "mailto:a@b", "../c", "./d", "../../../e", "/a/./b/../c?x=../y", "f/..", ".", "..", "/g/.."]
     for base in ("https://h/a/b?c#d", "https://h", "https://h/a/"):
         assert column(spark, hrefs, lambda c: urls.resolve(F.lit(base), c)) == [urljoin(base, h) if not (h == "" and "#" in base) else base for h in hrefs]

@@ -30,6 +30,8 @@ def test_seeded_sample_is_a_set_of_the_first(spark):
     a, b = dedup.seeded_sample(df, "ord", "ord", 10, 1), dedup.seeded_sample(df, "ord", "ord", 10, 2)
     assert {r.ord for r in a.collect()} == set(range(10)) == {r.ord for r in b.collect()}
     assert [r.ord for r in a.orderBy("shuffle_key").collect()] != [r.ord for r in b.orderBy("shuffle_key").collect()]
+    keys = [r.shuffle_key for r in a.collect()]
+    assert keys == sorted(keys)
 
 
 def test_walk_against_brute_force(spark):
@@ -98,6 +100,21 @@ def test_page_links(spark):
     assert got == {(1, "X", "subcategory", 0, "https://h/wiki/تصنيف:s", "s"), (1, "X", "article", 1, "https://h/wiki/a", "a & b")}
 
 
+def test_links_of_two_kinds(spark):
+    html = '<h1 class="firstHeading">X</h1><div id="mw-pages"><a href="/wiki/A?pagefrom=b">n</a></div><div class="mw-category-group"><a href="/wiki/Category:B">B</a><a href="/wiki/Talk:C"> C</a><a href="http://o/">o</a></div>'
+    df = spark.createDataFrame([(1, "https://h/wiki/Category:X", html, "X")], "id int, url string, html string, of string")
+    assert [(r.kind, r.url) for r in links.category_links(df, "id", "url").collect()] == [("article", "https://h/wiki/A?pagefrom=b"), ("paging", "https://h/wiki/A?pagefrom=b")]
+    assert [tuple(r)[1:] for r in links.group_links(df, "id", "url", "of").collect()] == [("category", 1, "B", "https://h/wiki/Category:B", None), ("figure", 2, "C", "https://h/wiki/Talk:C", "X")]
+
+
+def test_files_that_are_missing(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "ord int, title string")
+    done = spark.createDataFrame([("a.md",), ("a.md",)], "filename string")
+    name = F.concat("title", F.lit(".md"))
+    assert [r.ord for r in dedup.not_written(df, name, done).collect()] == [2]
+    assert dedup.not_written(df, name, done, force=True).count() == 2
+
+
 def test_repair():
     assert json.loads(responses.repair('x {"a": [1, 2,], "b": "c')) == {"a": [1, 2], "b": "c"}
     assert json.loads(responses.repair('{"a": "x\ny"} tail')) == {"a": "x\ny"}
