@@ -152,5 +152,25 @@ def q33_bpe_lossless(spark: SparkSession, d: str) -> DataFrame:
     return e.select("rec_id", (bpe.decode(F.col("tokens")) == F.col("text")).alias("lossless"))
 
 
+def encoding_sql(texts: str, keys: str) -> str:
+    """CTEs p (keys, i, piece), the pieces of the texts(keys, text) in order, and e (piece, tokens), each distinct piece after its merges.
+
+    A step merges the first of the neighbours with the lowest rank, until no neighbours merge.
+    """
+    return f"""RECURSIVE p AS (SELECT {keys}, i, q[i] AS piece FROM (SELECT {keys}, q, unnest(range(1, len(q) + 1)) AS i FROM (SELECT {keys}, {_PIECES} AS q FROM ({texts})))),
+ h AS (SELECT piece, j, coalesce(token, '[UNK]') AS c FROM (SELECT piece, unnest(range(1, len(piece) + 1)) AS j FROM (SELECT DISTINCT piece FROM p)) LEFT JOIN tokenizer_vocab ON token = substring(piece, j, 1)),
+ s AS (SELECT piece, list(c ORDER BY j) AS y, 0 AS n FROM h GROUP BY 1
+  UNION ALL SELECT piece, list_concat(list_append(y[1 : (place - 1)], y[place] || y[place + 1]), y[(place + 2) : len(y)]), n + 1 FROM (SELECT piece, y, n, min(struct_pack(r := merge_rank, i := i)).i AS place FROM (SELECT piece, y, n, unnest(range(1, len(y))) AS i FROM s) JOIN tokenizer_merges ON left_token = y[i] AND right_token = y[i + 1] GROUP BY 1, 2, 3)),
+ e AS (SELECT piece, arg_max(y, n) AS tokens FROM s GROUP BY 1)"""
+
+
+_ENCODING = encoding_sql(_TEXTS, "rec_id")
+_JOINED = f"WITH {_ENCODING}, v AS (SELECT piece, string_agg(coalesce(id, 1), ' ' ORDER BY j) AS ids FROM (SELECT piece, j, tokens[j] AS token FROM (SELECT piece, tokens, unnest(range(1, len(tokens) + 1)) AS j FROM e)) LEFT JOIN tokenizer_vocab USING (token) GROUP BY 1), t AS ({_TEXTS})"
+SQL_Q29 = f"""{_JOINED} SELECT t.rec_id, coalesce(x.tokens, '') AS tokens, coalesce(x.ids, '') AS ids FROM t LEFT JOIN (SELECT rec_id, string_agg(array_to_string(tokens, ' '), ' ' ORDER BY i) AS tokens, string_agg(ids, ' ' ORDER BY i) AS ids FROM p JOIN e USING (piece) JOIN v USING (piece) GROUP BY 1) x ON x.rec_id = t.rec_id"""
+_COUNTED = f"WITH {_ENCODING}, t AS ({_TEXTS}), c AS (SELECT rec_id, sum(len(tokens)) AS n, regexp_replace(replace(string_agg(array_to_string(list_filter(tokens, lambda x: x NOT IN ('[PAD]', '[UNK]', '[BOS]', '[EOS]')), ''), '' ORDER BY i), '▁', ' '), '^ ', '') AS back FROM p JOIN e USING (piece) GROUP BY 1)"
+SQL_Q31_BPE = f"{_COUNTED} SELECT t.rec_id, round(len(text)::DOUBLE / nullif(n, 0), 6) AS chars_per_token FROM t LEFT JOIN c ON c.rec_id = t.rec_id"
+SQL_Q32_BPE = f"WITH {_ENCODING} SELECT len(token)::INTEGER AS length, count(*) AS tokens FROM (SELECT unnest(tokens) AS token FROM p JOIN e USING (piece)) GROUP BY 1"
+SQL_Q33_BPE = f"{_COUNTED} SELECT t.rec_id, coalesce(back, '') = text AS lossless FROM t LEFT JOIN c ON c.rec_id = t.rec_id"
+
 QUERIES = {f.__name__: f for f in (q21_normalize_text, q22_normalize_stats, q23_corpus_filter, q24_corpus_totals, q25_word_freq, q26_alphabet, q27_pair_counts, q28_bpe_vocab, q28_bpe_merges, q29_encode, q30_token_ids, q30_padded_batch, q31_chars_per_token, q31_bpe_chars_per_token, q32_token_length_hist, q32_bpe_length_hist, q33_lossless, q33_bpe_lossless)}
-SQL = {"q21_normalize_text": SQL_Q21, "q22_normalize_stats": SQL_Q22, "q23_corpus_filter": SQL_Q23, "q24_corpus_totals": SQL_Q24, "q25_word_freq": SQL_Q25, "q26_alphabet": SQL_Q26, "q27_pair_counts": SQL_Q27, "q30_token_ids": SQL_Q30, "q30_padded_batch": SQL_Q30_PADDED, "q31_chars_per_token": SQL_Q31, "q32_token_length_hist": SQL_Q32, "q33_lossless": SQL_Q33}
+SQL = {"q21_normalize_text": SQL_Q21, "q22_normalize_stats": SQL_Q22, "q23_corpus_filter": SQL_Q23, "q24_corpus_totals": SQL_Q24, "q25_word_freq": SQL_Q25, "q26_alphabet": SQL_Q26, "q27_pair_counts": SQL_Q27, "q30_token_ids": SQL_Q30, "q30_padded_batch": SQL_Q30_PADDED, "q31_chars_per_token": SQL_Q31, "q32_token_length_hist": SQL_Q32, "q33_lossless": SQL_Q33, "q29_encode": SQL_Q29, "q31_bpe_chars_per_token": SQL_Q31_BPE, "q32_bpe_length_hist": SQL_Q32_BPE, "q33_bpe_lossless": SQL_Q33_BPE}
