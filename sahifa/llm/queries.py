@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..plans.corpus import encoding_sql
 from ..runtime import table
 from . import leaks as _leaks, lookalikes as _lookalikes, mixing as _mixing, near as _near, pairs as _pairs, quality as _quality, reading as _reading, tokens as _tokens
 
@@ -137,4 +138,19 @@ def _spans_sql(key: str, source: str) -> str:
     return f"SELECT {key}, array_to_string(w[n : n + 14], ' ') AS span FROM (SELECT {key}, w, unnest(range(1, len(w) - 13)) AS n FROM (SELECT {key}, {_words_sql('text')} AS w FROM {source} WHERE text IS NOT NULL))"
 
 
-SQL: dict[str, str] = {"p7_found": f"SELECT DISTINCT doc_id, item_id FROM ({_spans_sql('doc_id', 'documents')}) JOIN ({_spans_sql('item_id', 'eval_items')}) USING (span)"}
+def _name_sql(c: str) -> str:
+    return "nullif(regexp_replace(lower(trim(" + c + r")), '[\s\-]+', '_', 'g'), '')"
+
+
+_AR, _LA = ("len(coalesce(regexp_replace(text, '[^" + x + "]', '', 'g'), ''))" for x in ("ء-يٮ-ۓ", "A-Za-zÀ-ɏ"))
+_RECORDS = f"""SELECT src_table, rec_id, text, {_name_sql('source')} AS source, {_name_sql('category')} AS category, CASE WHEN {_AR} = 0 AND {_LA} = 0 THEN 'none' WHEN {_AR} >= {_LA} THEN 'ar' ELSE 'en' END AS lang
+ FROM (SELECT DISTINCT 'train_phase_1' AS src_table, rec_id, source, NULL::VARCHAR AS category, text FROM train_phase_1 UNION ALL SELECT DISTINCT 'output_dataset', rec_id, 'output_dataset', category, article FROM output_dataset)"""
+_TOKENS = f"""WITH {encoding_sql("SELECT src_table, rec_id, text FROM (" + _RECORDS + ") WHERE text IS NOT NULL", "src_table, rec_id")}, r AS ({_RECORDS}),
+ k AS (SELECT r.src_table, r.rec_id, source, category, lang, coalesce(tokens, 0)::BIGINT AS tokens FROM r LEFT JOIN (SELECT src_table, rec_id, sum(len(tokens)) AS tokens FROM p JOIN e USING (piece) GROUP BY 1, 2) c ON c.src_table = r.src_table AND c.rec_id = r.rec_id)"""
+_CELLS = "SELECT src_table, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(category, '(none)') AS category, tokens FROM k"
+
+SQL: dict[str, str] = {
+    "p4_tokens": f"{_TOKENS} SELECT src_table, rec_id, source, category, lang, tokens FROM k",
+    "p4_budget": f"{_TOKENS} SELECT src_table, source, lang, category, count(*) AS documents, sum(tokens)::BIGINT AS tokens FROM ({_CELLS}) GROUP BY src_table, CUBE (source, lang, category)",
+    "p7_found": f"SELECT DISTINCT doc_id, item_id FROM ({_spans_sql('doc_id', 'documents')}) JOIN ({_spans_sql('item_id', 'eval_items')}) USING (span)",
+}
